@@ -34,37 +34,58 @@ class TokenAutomaton:
         self.labels = {i: t for t, i in vocab.items()} | {i: t for t, i in special.items()}
         chars = byte_chars()
         self.inner, self.final = [vocab[c] for c in chars], [vocab[c + "</w>"] for c in chars]
-        self.special = special
+        self.special, self.symbols = special, {*self.inner, *self.final}
         # states: what was removed, of which state it is a copy, and when
         self.after: dict[int, int] = {}  # token -> state it leads to
         self.copy_of, self.removed, self.when = [-1], [-1], [-1]
         self.left: dict[int, int] = {}
+        self.right: dict[int, int] = {}
         self.born: dict[int, int] = {}
+        rule = {}
         for rank, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
             if w in self.born:
                 raise ValueError(f"two merges make {a + b!r}: the last token's state would not follow from the token")
+            if self._merged_before(rule, u, v):  # no path has u and then v: the gadget is empty
+                continue
+            rule[u, v] = rank
             self.after[w] = self.after.get(v, 0)  # before u's state changes: right for u = v as well
             self.copy_of.append(self.after.get(u, 0))
             self.removed.append(v)
             self.when.append(rank)
             self.after[u] = len(self.removed) - 1
-            self.left[w], self.born[w] = u, rank
-        self.base = {s: [s] for s in {*self.inner, *self.final}}
-        for w, u in self.left.items():  # in rank order: parts come first
-            self.base[w] = []
-        self._trie(vocab, merges)
+            self.left[w], self.right[w], self.born[w] = u, v, rank
+        self._trie()
         self._arcs: dict[int, bool] = {}
         self._lacks: dict[int, dict[int, int]] = {0: {}}
 
-    def _trie(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
+    def _merged_before(self, rule: dict[tuple[int, int], int], u: int, v: int) -> bool:
+        """Whether the tokens never stand side by side: one of them cannot be made, or an earlier merge bridges them."""
+        base = self.symbols
+        if not (u in self.born or u in base) or not (v in self.born or v in base):
+            return True
+        y, until = u, LAST
+        while True:
+            x, grown = v, LAST
+            while True:
+                r = rule.get((y, x))
+                if r is not None and r < until and r <= grown:
+                    return True
+                if x not in self.left:
+                    break
+                grown, x = self.born[x], self.left[x]
+            if y not in self.right:
+                return False
+            until, y = self.born[y], self.right[y]
+
+    def _trie(self) -> None:
         """Arc labels by their base symbols: node * symbols + symbol -> node, and the token that ends in a node."""
-        spelled = {s: (s,) for s in {*self.inner, *self.final}}
+        spelled = {s: (s,) for s in self.symbols}
         self.width = max(spelled) + 1
         self.next: dict[int, int] = {}
         self.token: list[int] = [-1]
-        for a, b in merges:
-            spelled[vocab[a + b]] = spelled[vocab[a]] + spelled[vocab[b]]
+        for w, u in self.left.items():  # in rank order: parts come first
+            spelled[w] = spelled[u] + spelled[self.right[w]]
         for t, symbols in spelled.items():
             node = 0
             for s in symbols:
