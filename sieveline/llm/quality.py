@@ -199,6 +199,22 @@ def score(docs: DataFrame, model: Model | None, bits: int = BITS, keep: tuple[st
     return source.mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model | None, cut: float = CUT, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score is at least ``cut``; all rows without a model."""
+    if model is None:
+        return docs
+    spark = docs.sparkSession
+    prepare(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        of, m = Indicators(bits).of, shared.value
+        for b in batches:
+            yield b.filter(pa.array([m.score(of(t or "")) >= cut for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``."""
     scored = score(docs, train(docs, labels, sample))

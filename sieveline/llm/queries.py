@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, chat_format, exact_dedup, media_png, near_dedup, packing, quality, token_counts, url_filter
+from . import bpe_automaton, chat_format, exact_dedup, media_png, near_dedup, packing, pii, quality, token_counts, url_filter
 from .common import table
 
 
@@ -23,6 +23,7 @@ def op10(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pii": pii.op1,
     "op2_near_dedup": near_dedup.op2,
     "op3_quality": quality.op3,
     "op4_chat_format": chat_format.op4,

@@ -41,15 +41,21 @@ def parts(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
 
 
-def _grams(part: str, mark: str) -> Column:
-    """n-grams of a part between end signs; the end signs alone make no gram. Very long parts take one pass per n."""
-    text = F.concat(F.lit("^"), F.col(part), F.lit("$"))
-    sets = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), F.substr(text, i, F.lit(n)))) for n in (3, 4)]
-    return F.array_distinct(F.concat(*sets))
+def _grams(part: str, mark: str) -> tuple[Column, Column]:
+    """The characters of a part between end signs, to be named __part, and its n-grams from them, in linear time."""
+    signs = F.split(F.concat(F.lit("^"), F.col(part), F.lit("$")), "")
+
+    def of(n: int) -> Column:
+        size = F.size(f"__{part}")
+        starts = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), *(F.get(F.col(f"__{part}"), i + k) for k in range(n))))
+
+    return signs, F.array_distinct(F.concat(of(3), of(4)))
 
 
 def features(df: DataFrame) -> DataFrame:
-    grams = df.withColumn("grams", F.concat(_grams("host", "h"), _grams("path", "p")))
+    (hs, h), (ps, p) = _grams("host", "h"), _grams("path", "p")
+    grams = df.withColumns({"__host": hs, "__path": ps}).withColumn("grams", F.concat(h, p)).drop("__host", "__path")
     return HashingTF(numFeatures=1 << BITS, inputCol="grams", outputCol="features").setBinary(True).transform(grams)
 
 
