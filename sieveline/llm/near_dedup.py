@@ -11,9 +11,11 @@ doc_id that links reach from it.
 * Bands of ``rows`` coordinates each are bucket keys. With 48 bands of 8, a pair of similarity 0.85 shares no bucket with
   a probability of 3e-7, the only way in which a link can be lost.
 * Documents with one word sequence are one representative. Within a bucket no pairs are enumerated: its members are
-  compared with one hub, and what verification links is joined into classes. Only buckets that still hold several classes
-  go on, with up to 8, 64, ... hubs taken out of the bucket per round, until each has been compared with all members of
-  other classes. Pairs that already share a class are the only ones left out; they can't change the result.
+  compared with one hub, the smallest, and what verification links is joined into classes. Where a hub's members still are in
+  several classes, they are put into new buckets by elements of their differences from the hub (``difference_keys``: exact,
+  members that are linked share such a bucket). Buckets that hold several classes go on, with up to 8, 64, ... hubs
+  taken out of a bucket per round, until each has been compared with all members of other classes. Pairs are left out only
+  if they share a class already or if their sizes forbid a link; neither can change the result.
 * Texts are joined to pairs from tables in the shared folder, so both sides are shuffled and a frequent hub can be split.
 
 A null doc_id gets its set size, no class, and stays (kept). Rows that repeat a doc_id and text are returned as often;
@@ -120,8 +122,30 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n long, seq binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, candidates: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. The hub b comes last, so its set is made once for a run of pairs."""
+def difference_keys(hub: int, own: set, of_hub: set, linked: bool, percent: int) -> list[int]:
+    """Keys, one of which a member of a hub's bucket shares with each member that it is linked with but not through the hub.
+
+    With D the symmetric difference of a set and the hub's, xy's difference is that of Dx and Dy, so a link of x and y asks for
+    |Dx & Dy| >= (|Dx| + |Dy| - (1 - p) |x | y|) / 2. If y is not linked with the hub, |Dy| > (1 - p) |y | hub|, which gives
+    more than p |Dx| / 2 common elements, and (with |x | y| <= |y| / p) at least |Dy| - (1 - p) |y| / p. Of sets with that
+    much in common, the first |D| - common + 1 elements in any one order share one. Elements that the hub lacks come first.
+    """
+    d = own ^ of_hub
+    if not d:
+        return []
+    if linked:
+        common = percent * len(d) // 200 + 1
+    else:
+        common = max(1, -((-percent * len(d) + (100 - percent) * len(own)) // percent))
+    marked = sorted((g in of_hub, xxhash.xxh3_64_intdigest(b" ".join(g), hub & 0xFFFFFFFF)) for g in d)
+    return [h - (1 << 63) for _, h in marked[: len(d) - common + 1]]
+
+
+def verified(pairs: DataFrame, candidates: DataFrame, n: int, percent: int, differences: bool = False) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; with ``differences`` all pairs, with linked and their keys.
+
+    The hub b comes last, so its set is made once for a run of pairs.
+    """
     left = candidates.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = candidates.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
@@ -135,12 +159,16 @@ def verified(pairs: DataFrame, candidates: DataFrame, n: int, percent: int) -> D
                     last, hub = b, shingles(words(tb), n)
                 own = shingles(words(ta), n)
                 common = len(own & hub)
-                if common and 100 * common >= percent * (len(own) + len(hub) - common):
+                linked = common > 0 and 100 * common >= percent * (len(own) + len(hub) - common)
+                if differences:
+                    found.append((a, b, linked, difference_keys(b, own, hub, linked, percent)))
+                elif linked:
                     found.append((a, b))
-            cols = list(zip(*found, strict=True)) or [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+            cols = list(zip(*found, strict=True)) or [()] * (4 if differences else 2)
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], ["a", "b", "linked", "keys"][: len(cols)])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long" + ", linked boolean, keys array<long>" * differences)
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -180,42 +208,43 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     several = all_.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("seq").alias("s1"), F.max("seq").alias("s2")).where("s1 < s2")
     same_id = several.select("doc_id", F.explode(F.array("s1", "s2")).alias("seq")).join(sequence, "seq").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
     links = scratch.save(same_id, "links-0")
-    tested = None
-    pairs = alive.select(F.col("rep").alias("a"), F.col("hub").alias("b"), "n").where("a != b")
+    pairs = alive.select(F.col("rep").alias("a"), F.col("hub").alias("b")).where("a != b").distinct()
+    first = scratch.save(pairs, "pairs-0")
     sizes = scratch.save(alive.select("rep", "n").distinct(), "sizes")
     need = texts(docs).where("doc_id is not null").join(sizes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     candidates = scratch.save(need, "texts")
-    live, hubs_a_round, k, class_of = alive.select("key", "rep", "n"), 1, 0, None
+    scratch.drop("buckets-0", "hubs-0")
+    compared = scratch.save(verified(first, candidates, n, percent, differences=True), "found-0")
+    links = links.unionByName(compared.where("linked").select("a", "b"))
+    class_of = components(scratch, links, "classes-0")
+    tested = first
+    # members of a hub that it left in several classes meet again where their differences from the hub agree
+    classed = lambda df: df.join(class_of.select(F.col("id").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    of_hub = scratch.save(classed(compared.select("b", F.col("a").alias("rep"))), "classed")
+    open_hubs = of_hub.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b")
+    met = compared.join(open_hubs, "b").select(F.explode("keys").alias("key"), F.col("a").alias("rep"))
+    live = scratch.save(met.join(sizes, "rep").select("key", "rep", "n").distinct(), "met-0")
+    hubs_a_round, k = 1, 0
     while True:
-        # sizes alone rule out most accidental pairs: |small| / |large| bounds the similarity
-        other = sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
-        found = pairs.groupBy(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).agg(F.min("n").alias("_")).select("a", "b")
-        found = found.join(sizes.select(F.col("rep").alias("a"), "n"), "a").join(other, "b").where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")).select("a", "b")
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        chosen = scratch.save(found, f"pairs-{k}")
-        tested = chosen if tested is None else tested.unionByName(chosen)
-        more = scratch.save(verified(chosen, candidates, n, percent), f"found-{k}")
-        links = links.unionByName(more)
-        class_of = components(scratch, links, f"classes-{k}")
-        # hubs leave their buckets; buckets with one class are done
-        done = scratch.spark.read.parquet(scratch.path("hubs-0")).select("key", F.col("hub").alias("rep")) if k == 0 else done_hubs
-        rest = live.join(done, ["key", "rep"], "left_anti")
-        state = rest.join(class_of.select(F.col("id").alias("rep"), "c"), "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
-        state = scratch.save(state, f"state-{k}")
+        state = scratch.save(classed(live), f"state-{k}")
         open_keys = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        k += 1
-        live = scratch.save(state.join(open_keys, "key").select("key", "rep", "n", "c"), f"buckets-{k}")
-        scratch.drop(f"state-{k - 1}", f"buckets-{k - 1}")
+        live = scratch.save(state.join(open_keys, "key").select("key", "rep", "n", "c"), f"buckets-{k + 1}")
+        scratch.drop(f"state-{k}", f"buckets-{k}", f"met-{k}")
         if live.isEmpty():
             break
+        k += 1
         hubs_a_round = min(hubs_a_round * 8, 512)
         slot = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(hubs_a_round))
-        done_hubs = scratch.save(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "c")).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.c").alias("hc")), f"hubs-{k}")
-        pairs = live.join(done_hubs, "key").where("c != hc").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "n")
-        done_hubs = done_hubs.select("key", F.col("hub").alias("rep"))
-        live = live.select("key", "rep", "n")
-    scratch.drop("texts", "hubs-0")
+        hubs = scratch.save(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "n", "c")).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hn"), F.col("h.c").alias("hc")), f"hubs-{k}")
+        # sizes alone rule out many pairs: |small| / |large| bounds the similarity
+        near = (F.col("c") != F.col("hc")) & (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn"))
+        found = live.join(hubs, "key").where(near).select(F.least("rep", "hub").alias("b"), F.greatest("rep", "hub").alias("a")).distinct()
+        chosen = scratch.save(found.join(tested, ["a", "b"], "left_anti").select("a", "b"), f"pairs-{k}")
+        tested = tested.unionByName(chosen)
+        links = links.unionByName(scratch.save(verified(chosen, candidates, n, percent), f"found-{k}"))
+        class_of = components(scratch, links, f"classes-{k}")
+        live = live.join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
+    scratch.drop("texts")
     named = class_of.select(F.col("id").alias("rep"), F.col("c").alias("component_id"))
     by_sequence = scratch.save(sequence.select("seq", "rep").join(named, "rep", "left").select("seq", F.coalesce("component_id", "rep").alias("component_id")), "classes")
     linked = all_.where("n > 0 and doc_id is not null").join(by_sequence, "seq").select("doc_id", "n", "component_id")

@@ -88,3 +88,25 @@ def test_sketch_fills_and_estimates():
     both = rng.integers(0, 1 << 63, 800, dtype=np.uint64)
     a, b = np.r_[both, rng.integers(0, 1 << 63, 100, dtype=np.uint64)], np.r_[both, rng.integers(0, 1 << 63, 100, dtype=np.uint64)]
     assert abs((near_dedup.sketch(a, 2048) == near_dedup.sketch(b, 2048)).mean() - 0.8) < 0.05
+
+
+def test_linked_members_of_a_hub_share_a_difference_key():
+    rng = random.Random(8)
+    seen = 0
+    for percent in (60, 80, 85):
+        for _ in range(300):
+            hub = {(b"%d" % k,) for k in range(rng.randint(5, 40))}
+            def near(s, rng=rng):
+                s = set(s)
+                for _ in range(rng.randint(0, 9)):
+                    s.discard(rng.choice(sorted(s))) if rng.random() < 0.5 and len(s) > 1 else s.add((b"n%d" % rng.randint(0, 30),))
+                return s
+            x = near(hub)
+            y = near(x if rng.random() < 0.7 else hub)
+            is_linked = lambda a, b, p=percent: 100 * len(a & b) >= p * len(a | b)
+            lx, ly = is_linked(x, hub), is_linked(y, hub)
+            if is_linked(x, y) and x != hub and y != hub and not (lx and ly):
+                seen += 1
+                kx, ky = (set(near_dedup.difference_keys(7, s, hub, link, percent)) for s, link in ((x, lx), (y, ly)))
+                assert kx & ky
+    assert seen > 50
