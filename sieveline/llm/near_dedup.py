@@ -15,7 +15,7 @@ doc_id that links reach from it.
   several classes, they are put into new buckets by elements of their differences from the hub (``difference_keys``: exact,
   members that are linked share such a bucket). Buckets that hold several classes go on, with up to 8, 64, ... hubs
   taken out of a bucket per round, until each has been compared with all members of other classes. Pairs are left out only
-  if they share a class already or if their sizes forbid a link; neither can change the result.
+  if they share a class already or if the sizes of sets or differences forbid a link; neither can change the result.
 * Texts are joined to pairs from tables in the shared folder, so both sides are shuffled and a frequent hub can be split.
 
 A null doc_id gets its set size, no class, and stays (kept). Rows that repeat a doc_id and text are returned as often;
@@ -43,9 +43,13 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()  # bytes: only A-Z and ASCII blanks
 
 
+def ordered_shingles(ws: list[bytes], n: int) -> list:
+    """n-word shingles in order; fewer words are one shingle, no words none."""
+    return list(zip(*(ws[i:] for i in range(n)), strict=False)) if len(ws) >= n else [tuple(ws)] if ws else []
+
+
 def shingles(ws: list[bytes], n: int) -> set:
-    """Distinct n-word shingles; fewer words are one shingle, no words none."""
-    return set(zip(*(ws[i:] for i in range(n)), strict=False)) if len(ws) >= n else {tuple(ws)} if ws else set()
+    return set(ordered_shingles(ws, n))
 
 
 @lru_cache(maxsize=4)
@@ -122,23 +126,29 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n long, seq binary, bands array<long>")
 
 
-def difference_keys(hub: int, own: set, of_hub: set, linked: bool, percent: int) -> list[int]:
-    """Keys, one of which a member of a hub's bucket shares with each member that it is linked with but not through the hub.
+def difference_keys(hub: int, own: set, of_hub: dict, linked: bool, percent: int) -> tuple[int, list[int]]:
+    """The size of the difference from the hub, and keys, one of which a member of a hub's bucket shares with each member that it is linked with but not through the hub.
 
     With D the symmetric difference of a set and the hub's, xy's difference is that of Dx and Dy, so a link of x and y asks for
     |Dx & Dy| >= (|Dx| + |Dy| - (1 - p) |x | y|) / 2. If y is not linked with the hub, |Dy| > (1 - p) |y | hub|, which gives
     more than p |Dx| / 2 common elements, and (with |x | y| <= |y| / p) at least |Dy| - (1 - p) |y| / p. Of sets with that
-    much in common, the first |D| - common + 1 elements in any one order share one. Elements that the hub lacks come first.
+    much in common, the first |D| - common + 1 elements in any one order share one. Elements that the hub lacks come first, as
+    they are rare; the hub's own go by stretches of eight places (``of_hub`` has them), so that the elements that one changed
+    word takes away stay together and few changes fill the rest.
     """
-    d = own ^ of_hub
+    d = own ^ of_hub.keys()
     if not d:
-        return []
+        return 0, []
     if linked:
         common = percent * len(d) // 200 + 1
     else:
         common = max(1, -((-percent * len(d) + (100 - percent) * len(own)) // percent))
-    marked = sorted((g in of_hub, xxhash.xxh3_64_intdigest(b" ".join(g), hub & 0xFFFFFFFF)) for g in d)
-    return [h - (1 << 63) for _, h in marked[: len(d) - common + 1]]
+    name = lambda g: xxhash.xxh3_64_intdigest(b" ".join(g), hub & 0xFFFFFFFF)
+    lacking = sorted(name(g) for g in d if g not in of_hub)
+    places = sorted((at // 8 * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, at, g) for g in d if (at := of_hub.get(g)) is not None)
+    length = len(d) - common + 1
+    names = lacking[:length] + [name(g) for *_, g in places[: max(0, length - len(lacking))]]
+    return len(d), [h - (1 << 63) for h in names]
 
 
 def verified(pairs: DataFrame, candidates: DataFrame, n: int, percent: int, differences: bool = False) -> DataFrame:
@@ -151,24 +161,24 @@ def verified(pairs: DataFrame, candidates: DataFrame, n: int, percent: int, diff
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def run(batches):
-        last, hub = None, set()
+        last, hub = None, {}
         for batch in batches:
             found = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != last:
-                    last, hub = b, shingles(words(tb), n)
+                    last, hub = b, {g: i for i, g in enumerate(ordered_shingles(words(tb), n))}
                 own = shingles(words(ta), n)
-                common = len(own & hub)
+                common = len(own & hub.keys())
                 linked = common > 0 and 100 * common >= percent * (len(own) + len(hub) - common)
                 if differences:
-                    found.append((a, b, linked, difference_keys(b, own, hub, linked, percent)))
+                    found.append((a, b, linked, *difference_keys(b, own, hub, linked, percent)))
                 elif linked:
                     found.append((a, b))
-            cols = list(zip(*found, strict=True)) or [()] * (4 if differences else 2)
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], ["a", "b", "linked", "keys"][: len(cols)])
+            cols = list(zip(*found, strict=True)) or [()] * (5 if differences else 2)
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], ["a", "b", "linked", "d", "keys"][: len(cols)])
 
-    return both.mapInArrow(run, "a long, b long" + ", linked boolean, keys array<long>" * differences)
+    return both.mapInArrow(run, "a long, b long" + ", linked boolean, d long, keys array<long>" * differences)
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -222,28 +232,31 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     classed = lambda df: df.join(class_of.select(F.col("id").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     of_hub = scratch.save(classed(compared.select("b", F.col("a").alias("rep"))), "classed")
     open_hubs = of_hub.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b")
-    met = compared.join(open_hubs, "b").select(F.explode("keys").alias("key"), F.col("a").alias("rep"))
-    live = scratch.save(met.join(sizes, "rep").select("key", "rep", "n").distinct(), "met-0")
+    met = compared.join(open_hubs, "b").select(F.posexplode("keys").alias("pos", "key"), F.col("a").alias("rep"), "d")
+    live = scratch.save(met.join(sizes, "rep").select("key", "rep", "n", "d", "pos"), "met-0")
     hubs_a_round, k = 1, 0
     while True:
         state = scratch.save(classed(live), f"state-{k}")
         open_keys = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        live = scratch.save(state.join(open_keys, "key").select("key", "rep", "n", "c"), f"buckets-{k + 1}")
+        live = scratch.save(state.join(open_keys, "key").select("key", "rep", "n", "d", "pos", "c"), f"buckets-{k + 1}")
         scratch.drop(f"state-{k}", f"buckets-{k}", f"met-{k}")
         if live.isEmpty():
             break
         k += 1
         hubs_a_round = min(hubs_a_round * 8, 512)
         slot = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(hubs_a_round))
-        hubs = scratch.save(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "n", "c")).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hn"), F.col("h.c").alias("hc")), f"hubs-{k}")
-        # sizes alone rule out many pairs: |small| / |large| bounds the similarity
-        near = (F.col("c") != F.col("hc")) & (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn"))
+        hubs = scratch.save(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "n", "d", "pos", "c")).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hn"), F.col("h.d").alias("hd"), F.col("h.pos").alias("hpos"), F.col("h.c").alias("hc")), f"hubs-{k}")
+        # sizes rule out many pairs: |small| / |large| bounds the similarity, and with |x | y| <= |small| / p the pair has
+        # (|Dx| + |Dy| - (1 - p) / p |small|) / 2 common elements, the first of them that far from the end of both D
+        small, room = F.least("n", "hn"), (100 - percent) * F.least("n", "hn")
+        fits = lambda pos, own, other: 2 * percent * F.col(pos) <= percent * (F.col(own) - F.col(other)) + room  # noqa: E731, B023
+        near = (F.col("c") != F.col("hc")) & (100 * small >= percent * F.greatest("n", "hn")) & fits("pos", "d", "hd") & fits("hpos", "hd", "d")
         found = live.join(hubs, "key").where(near).select(F.least("rep", "hub").alias("b"), F.greatest("rep", "hub").alias("a")).distinct()
         chosen = scratch.save(found.join(tested, ["a", "b"], "left_anti").select("a", "b"), f"pairs-{k}")
         tested = tested.unionByName(chosen)
         links = links.unionByName(scratch.save(verified(chosen, candidates, n, percent), f"found-{k}"))
         class_of = components(scratch, links, f"classes-{k}")
-        live = live.join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
+        live = live.join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "d", "pos")
     scratch.drop("texts")
     named = class_of.select(F.col("id").alias("rep"), F.col("c").alias("component_id"))
     by_sequence = scratch.save(sequence.select("seq", "rep").join(named, "rep", "left").select("seq", F.coalesce("component_id", "rep").alias("component_id")), "classes")

@@ -107,6 +107,6 @@ def test_linked_members_of_a_hub_share_a_difference_key():
             lx, ly = is_linked(x, hub), is_linked(y, hub)
             if is_linked(x, y) and x != hub and y != hub and not (lx and ly):
                 seen += 1
-                kx, ky = (set(near_dedup.difference_keys(7, s, hub, link, percent)) for s, link in ((x, lx), (y, ly)))
+                kx, ky = (set(near_dedup.difference_keys(7, s, {g: i for i, g in enumerate(sorted(hub))}, link, percent)[1]) for s, link in ((x, lx), (y, ly)))
                 assert kx & ky
     assert seen > 50
