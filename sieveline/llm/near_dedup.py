@@ -12,8 +12,9 @@ doc_id that links reach from it.
   a probability of 3e-7, the only way in which a link can be lost.
 * Documents with one word sequence are one representative. Within a bucket no pairs are enumerated: its members are
   compared with one hub, the smallest, and what verification links is joined into classes. Where a hub's members still are in
-  several classes, they are put into new buckets by elements of their differences from the hub (``difference_keys``: exact,
-  members that are linked share such a bucket). Buckets that hold several classes go on, with up to 8, 64, ... hubs
+  several classes, they are compared with one center of the largest of these classes, so that a class with many hubs has its
+  members listed once, and are put into new buckets by elements of their differences from the center (``difference_keys``: exact,
+  members that are linked share such a bucket). Buckets that hold several classes go on, with up to 32, 512, 512, ... hubs
   taken out of a bucket per round, until each has been compared with all members of other classes. Pairs are left out only
   if they share a class already or if the sizes of sets or differences forbid a link; neither can change the result.
 * Texts are joined to pairs from tables in the shared folder, so both sides are shuffled and a frequent hub can be split.
@@ -224,17 +225,28 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     need = texts(docs).where("doc_id is not null").join(sizes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     candidates = scratch.save(need, "texts")
     scratch.drop("buckets-0", "hubs-0")
-    compared = scratch.save(verified(first, candidates, n, percent, differences=True), "found-0")
-    links = links.unionByName(compared.where("linked").select("a", "b"))
+    links = links.unionByName(scratch.save(verified(first, candidates, n, percent), "found-0"))
     class_of = components(scratch, links, "classes-0")
-    tested = first
-    # members of a hub that it left in several classes meet again where their differences from the hub agree
     classed = lambda df: df.join(class_of.select(F.col("id").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    of_hub = scratch.save(classed(compared.select("b", F.col("a").alias("rep"))), "classed")
-    open_hubs = of_hub.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b")
-    met = compared.join(open_hubs, "b").select(F.posexplode("keys").alias("pos", "key"), F.col("a").alias("rep"), "d")
+    # a class has many hubs: members that a hub left in several classes are put under one center, a hub of the largest of them
+    weight = class_of.groupBy("c").agg(F.count(F.lit(1)).alias("w"))
+    in_bucket = first.select("b", F.col("a").alias("rep")).unionByName(first.select("b", F.col("b").alias("rep")).distinct())
+    of_hub = scratch.save(classed(in_bucket).join(weight, "c", "left").withColumn("w", F.coalesce("w", F.lit(1))), "classed")
+    member = F.when(F.col("rep") != F.col("b"), F.col("c"))
+    buckets = of_hub.groupBy("b").agg(F.min(member).alias("lo"), F.max(member).alias("hi"), F.max(F.struct("w", (-F.col("c")).alias("less"))).alias("best"), F.count(F.lit(1)).alias("size"))
+    hub_class = of_hub.where("rep = b").select("b", F.col("c").alias("own"))
+    buckets = scratch.save(buckets.join(hub_class, "b").select("b", "own", "size", (-F.col("best.less")).alias("c"), (F.col("lo") < F.col("hi")).alias("open")), "open")
+    center = buckets.groupBy(F.col("own").alias("c")).agg(F.min(F.struct(-F.col("size"), "b")).alias("first")).select("c", F.col("first.b").alias("center"))
+    placed = buckets.where("open").select("b", "c").join(center, "c", "left").select("b", F.coalesce("center", "c").alias("center"))
+    under = scratch.save(of_hub.join(placed, "b").where("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), "pairs-under")
+    compared = scratch.save(verified(under, candidates, n, percent, differences=True), "found-under")
+    tested = first.unionByName(under.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    links = links.unionByName(compared.where("linked").select("a", "b"))
+    class_of = components(scratch, links, "classes-under")
+    # what a center leaves in several classes meets again where the differences from it agree
+    met = compared.select(F.posexplode("keys").alias("pos", "key"), F.col("a").alias("rep"), "d")
     live = scratch.save(met.join(sizes, "rep").select("key", "rep", "n", "d", "pos"), "met-0")
-    hubs_a_round, k = 1, 0
+    hubs_a_round, k = 2, 0
     while True:
         state = scratch.save(classed(live), f"state-{k}")
         open_keys = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
@@ -243,7 +255,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
         if live.isEmpty():
             break
         k += 1
-        hubs_a_round = min(hubs_a_round * 8, 512)
+        hubs_a_round = min(hubs_a_round * 16, 512)
         slot = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(hubs_a_round))
         hubs = scratch.save(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "n", "d", "pos", "c")).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hn"), F.col("h.d").alias("hd"), F.col("h.pos").alias("hpos"), F.col("h.c").alias("hc")), f"hubs-{k}")
         # sizes rule out many pairs: |small| / |large| bounds the similarity, and with |x | y| <= |small| / p the pair has
@@ -254,8 +266,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
         found = live.join(hubs, "key").where(near).select(F.least("rep", "hub").alias("b"), F.greatest("rep", "hub").alias("a")).distinct()
         chosen = scratch.save(found.join(tested, ["a", "b"], "left_anti").select("a", "b"), f"pairs-{k}")
         tested = tested.unionByName(chosen)
-        links = links.unionByName(scratch.save(verified(chosen, candidates, n, percent), f"found-{k}"))
-        class_of = components(scratch, links, f"classes-{k}")
+        new = scratch.save(verified(chosen, candidates, n, percent), f"found-{k}")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            class_of = components(scratch, links, f"classes-{k}")
         live = live.join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "d", "pos")
     scratch.drop("texts")
     named = class_of.select(F.col("id").alias("rep"), F.col("c").alias("component_id"))
