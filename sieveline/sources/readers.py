@@ -65,7 +65,7 @@ def chunk_files(spark: SparkSession, path: str) -> DataFrame:
             F.coalesce(F.when(F.size("c.metadata.page_numbers") > 0, F.col("c.metadata.page_numbers")), F.when(F.col("c.page_number").isNotNull(), F.array("c.page_number")), F.array().cast("array<int>")).alias("pages"),
             F.coalesce("c.metadata.section_path", F.array().cast("array<string>")).alias("section_path"),
             F.coalesce(F.nullif("c.metadata.char_count", F.lit(0)), F.length(F.coalesce("c.content", F.lit("")))).alias("length"),
-            F.coalesce(F.nullif("c.metadata.pdf_stem", F.lit("")), F.regexp_replace(stem(F.col("file")), "_chunks$", "")).alias("pdf_stem"),
+            F.coalesce(F.nullif("c.metadata.pdf_stem", F.lit("")), F.col("file_stem")).alias("pdf_stem"),
         )
         out = rows if out is None else out.unionByName(rows)
     return out
