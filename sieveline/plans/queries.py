@@ -333,7 +333,7 @@ def match_evidence(t):
 @query()
 def match_evidence_all(t):
     """Evidence of every hit, matched ones too: spans are mapped back through each sign's place in the source."""
-    return t.matched.select("query_id", "doc_id", "is_match", "match_type", "evidence")
+    return t.matched.select("query_id", "doc_id", "is_match", "match_type", "matched_keys", "unit_inferred", "match_evidence", "evidence")
 
 
 _LABEL = f"{_MATCH}, al AS (SELECT *, CASE WHEN is_match THEN 'positive_auto' WHEN score >= 0.4 OR rank <= 5 THEN 'candidate' ELSE 'negative_auto' END AS label FROM mt)"

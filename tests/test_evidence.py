@@ -1,6 +1,9 @@
 """Evidence of matches against brute force."""
 
+import re
+
 from sieveline.functions import text as X
+from sieveline.operators import matching as M
 from sieveline.plans import queries as Q
 
 
@@ -40,3 +43,35 @@ def test_query_has_evidence_for_every_hit(spark, tmp_path):
         want = around(text, *at) if at else text[:200]
         assert got[d].evidence == want
     assert [got[d].is_match for d in (1, 2, 3, 4, 5)] == [True, True, True, False, False]
+
+
+def brute(text, keys):
+    """match_type, matched keys, unit and evidence, key by key; keys: (source, spellings, unit, wants mail)."""
+    if not X._indexed(text)["norm"] or not keys:
+        return "none", [], None, ""
+    matched, kind, first = [], "none", None
+    for source, variants, _, mail in keys:
+        if at := span(text, variants):
+            matched, kind, first = [*matched, source], "exact", first or at
+        elif not matched and mail and (m := re.search(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", text, re.I)):
+            matched, kind, first = [source], "regex", (m.start(), m.end() - 1)
+    unit = next((u for _, _, u, _ in keys if u), None)
+    if not first:
+        return "none", [], unit, text[:200]
+    return kind, matched, unit, around(text, *first) + (f" [unit_inferred={unit}]" if unit else "")
+
+
+def test_mail_context_units_and_keys(spark):
+    mail, name, rate = ("电子信箱", ["x@y.com"], None, True), ("name", ["acme"], None, False), ("rate", ["12.5%", "12.5", "0.125"], "%", False)
+    keys = {1: [mail, name, rate], 2: [name, mail], 3: []}
+    far = "\U0001f600 filler " * 40
+    texts = {1: f"{far}write to a@b.org or a@b.org {far}", 2: f"ACME {far} mail to a@b.org {far}", 3: f"{far} a@b.org {far} acme {far}", 4: far, 5: " , ", 6: None, 7: f"{far}12.5 in {far}"}
+    hits = spark.createDataFrame([(q, d, d, 0.1) for q in keys for d in [*texts, 8]], "query_id long, doc_id long, rank int, score double")
+    value = {"电子信箱": "x@y.com", "name": "Acme", "rate": "12.5％"}
+    rows = [(q, k, value[s], s) for q, ks in keys.items() for k, (s, *_) in enumerate(ks)]
+    out = M.match(hits, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(rows, "query_id long, pos int, value string, source string"))
+    got = {(r.query_id, r.doc_id): (r.match_type, r.matched_keys, r.unit_inferred, r.match_evidence) for r in out.collect()}
+    assert got == {(q, d): brute(texts.get(d) or "", keys[q]) for q in keys for d in [*texts, 8]}
+    assert got[1, 3][:2] == ("exact", ["电子信箱", "name"]) and got[1, 3][3].endswith("[unit_inferred=%]") and "a@b.org" in got[1, 3][3]
+    mined = {r.pos_id: r.match_evidence for r in M.mine(out).where("query_id = 1").collect()}
+    assert mined and all(e == got[1, d][3][:300] for d, e in mined.items())
