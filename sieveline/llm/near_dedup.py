@@ -166,8 +166,8 @@ def verified(pairs: DataFrame, candidates: DataFrame, n: int, percent: int, diff
         for batch in batches:
             found = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != last:
-                    last, hub = b, {g: i for i, g in enumerate(ordered_shingles(words(tb), n))}
+                if (b, tb) != last:  # an id may have several texts
+                    last, hub = (b, tb), {g: i for i, g in enumerate(ordered_shingles(words(tb), n))}
                 own = shingles(words(ta), n)
                 common = len(own & hub.keys())
                 linked = common > 0 and 100 * common >= percent * (len(own) + len(hub) - common)
@@ -216,8 +216,9 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     alive = scratch.save(banded.join(hubs, "key").select("key", "rep", "n", "hub"), "buckets-0")
     scratch.drop("representatives")
 
-    several = all_.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("seq").alias("s1"), F.max("seq").alias("s2")).where("s1 < s2")
-    same_id = several.select("doc_id", F.explode(F.array("s1", "s2")).alias("seq")).join(sequence, "seq").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
+    several = members.groupBy("doc_id").agg(F.min("seq").alias("s1"), F.max("seq").alias("s2")).where("s1 < s2").select("doc_id")
+    texts_of = members.select("doc_id", "seq").join(several, "doc_id", "left_semi").distinct()
+    same_id = texts_of.join(sequence, "seq").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
     links = scratch.save(same_id, "links-0")
     pairs = alive.select(F.col("rep").alias("a"), F.col("hub").alias("b")).where("a != b").distinct()
     first = scratch.save(pairs, "pairs-0")
@@ -237,7 +238,9 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     hub_class = of_hub.where("rep = b").select("b", F.col("c").alias("own"))
     buckets = scratch.save(buckets.join(hub_class, "b").select("b", "own", "size", (-F.col("best.less")).alias("c"), (F.col("lo") < F.col("hi")).alias("open")), "open")
     center = buckets.groupBy(F.col("own").alias("c")).agg(F.min(F.struct(-F.col("size"), "b")).alias("first")).select("c", F.col("first.b").alias("center"))
-    placed = buckets.where("open").select("b", "c").join(center, "c", "left").select("b", F.coalesce("center", "c").alias("center"))
+    # a class without a hub: its id may be in no bucket and then has no text here
+    other = of_hub.groupBy("c").agg(F.min("rep").alias("other"))
+    placed = buckets.where("open").select("b", "c").join(center, "c", "left").join(other, "c").select("b", F.coalesce("center", "other").alias("center"))
     under = scratch.save(of_hub.join(placed, "b").where("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), "pairs-under")
     compared = scratch.save(verified(under, candidates, n, percent, differences=True), "found-under")
     tested = first.unionByName(under.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))

@@ -79,6 +79,32 @@ def test_several_texts_under_one_id(spark):
     assert got == {(1, 1), (2, 1), (3, 1)}
 
 
+def test_three_and_more_texts_under_one_id(spark):
+    unlike = [" ".join(f"t{k}x{j}" for j in range(9)) for k in range(6)]
+    rows = [(k + 1, t) for k, t in enumerate(unlike)] + [(50, t) for t in unlike] + [(7, "z " * 9)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {*((i, 1) for i in (*range(1, 7), 50)), (7, 7)}
+
+
+def test_hubs_with_several_texts(spark):
+    """Each near copy of any of a hub's texts is linked with it."""
+    base = [[f"b{k}w{j}" for j in range(60)] for k in range(3)]
+    rows = [(1, " ".join(t)) for t in base]
+    rows += [(10 * k + i, " ".join([*t[:59], f"end{k}{i}"])) for k, t in enumerate(base, 1) for i in range(4)]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(brute(rows).items())
+
+
+def test_classes_named_by_an_id_outside_the_buckets(spark):
+    rng = random.Random(5)
+    common = ["w%d" % k for k in range(60)]
+    rows = [(i + 100, " ".join(common[: 58 - i % 7] + [f"u{i}x{k}" for k in range(rng.choice([2, 25, 60]))])) for i in range(90)]
+    apart = " ".join(f"apart{j}" for j in range(30))
+    rows += [(0, apart)] + [(i, t) for i in range(500, 520) for t in (apart, rows[3 * (i - 500) + 20][1])]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=24, rows=1).collect()}
+    assert got == set(brute(rows).items())
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(3)
     for n in (1, 2, 30, 400, 50_000):
