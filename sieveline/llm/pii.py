@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -102,16 +103,17 @@ _hex = re.compile(r"[0-9a-fA-F]+")
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Where entities may lie: LONGEST tokens of up to 64 signs in all on either side of each trigger, within one line."""
+    """Where entities may lie: all spans of up to LONGEST tokens that hold a trigger, of any length, within one line."""
     out: list[tuple[int, int]] = []
+    line, starts, ends = -1, [], []
     for m in _trigger.finditer(text):
-        a, b = m.start(), m.end()
-        lo, hi = text.rfind("\n", max(0, a - 64), a), text.find("\n", b, b + 64)
-        a, b = lo + 1 if lo >= 0 else max(0, a - 64), hi if hi >= 0 else min(len(text), b + 64)
-        while 0 < a < m.start() and text[a - 1].isalnum() and text[a].isalnum():
-            a += 1  # whole words only
-        while m.end() < b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
-            b -= 1
+        if m.end() > line:  # each line's tokens are made once
+            lo, hi = text.rfind("\n", max(0, line), m.start()) + 1, text.find("\n", m.end())
+            lo, line = lo or max(0, line), hi if hi >= 0 else len(text)
+            found = [t.span() for t in _token.finditer(text, lo, line)]
+            starts, ends = [a for a, _ in found], [b for _, b in found]
+        k = bisect_right(starts, m.start()) - 1
+        a, b = starts[max(0, k - LONGEST + 1)], ends[min(k + LONGEST, len(ends)) - 1]
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -167,8 +169,6 @@ def segments(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[t
             continue
         for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1):
             b = tokens[j - 1][1]
-            if b - a > 80:
-                break
             if seen[j] > seen[i] and text[b - 1].isalnum():
                 out.append((i, j))
     return tokens, out

@@ -41,6 +41,22 @@ def test_very_long_texts_take_linear_time(field):
     pii.spans_of("1 " * 3_000 + "x " * 100_000, field)
 
 
+def test_secrets_of_any_length(field):
+    rng = random.Random(4)
+    for n in (90, 128, 200, 600):
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "7a"
+        for before, after in (('token = "', '"'), ("api_key: ", " and more"), ("first line 12\nsecret=", "\n3 lines")):
+            text = f"the on {before}{key}{after}"
+            at = text.index(key)
+            assert ("secret", at, at + n) in pii.spans_of(text, field)[1]
+
+
+def test_long_spans_are_candidates():
+    email = "a" * 90 + " [at] mail [dot] example [dot] com"
+    tokens, spans = pii.segments(email, *pii.stretches(email)[0])
+    assert (0, len(email)) in [(tokens[i][0], tokens[j - 1][1]) for i, j in spans]
+
+
 def test_field_on_unseen_snippets(field):
     tp = fp = fn = 0
     for text, gold in pii.snippets(600, seed=991):
