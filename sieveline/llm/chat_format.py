@@ -89,6 +89,33 @@ def json_fingerprint(value: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(names), "\n"), 256)
 
 
+def _leaf(value: Column) -> Column:
+    return ~F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)<"), F.lit(False))
+
+
+def has_paths(value: Column, name: str) -> Column:
+    """Whether a variant record has the paths of a mapping, whatever others it has."""
+    m = MAPPINGS[name]
+    if "list" in m:
+        field, role, text, _ = m["list"]
+        each = F.try_variant_get(value, f"$.{field}", "array<map<string,variant>>")
+        known = lambda f: F.exists(each, lambda x: F.map_contains_key(x, f)) & F.forall(each, lambda x: _leaf(F.element_at(x, F.lit(f))))
+        fits = known(role) & known(text)
+    else:
+        top = F.try_variant_get(value, "$", "map<string,variant>")
+        fits = F.lit(True)
+        for f in m["paths"]:
+            fits = fits & F.map_contains_key(top, f) & _leaf(F.element_at(top, F.lit(f)))
+    return F.coalesce(fits, F.lit(False))
+
+
+def widest(value: Column) -> Column:
+    """The mapping with the most paths of those whose paths a record has; null if several have equally many."""
+    fitting = F.filter(F.array(*[F.when(has_paths(value, name), F.struct(F.lit(len(m["paths"])).alias("n"), F.lit(name).alias("name"))) for name, m in MAPPINGS.items()]), lambda x: x.isNotNull())
+    most = F.filter(fitting, lambda x: x["n"] == F.array_max(fitting)["n"])
+    return F.when(F.size(most) == 1, F.get(most, 0)["name"])
+
+
 def turns_of(value: Column, name: str) -> Column:
     """The canonical turns of a variant record by one mapping."""
     m = MAPPINGS[name]
@@ -111,14 +138,20 @@ def turns_of(value: Column, name: str) -> Column:
 
 
 def canonical_json(records: DataFrame, column: str = "record") -> DataFrame:
-    """``records`` with ``layout`` (null if no mapping fits or the JSON is broken) and ``turns`` (null likewise)."""
+    """``records`` with ``layout`` (null if no mapping fits or the JSON is broken) and ``turns`` (null likewise).
+
+    A record without a known fingerprint takes the mapping with the most paths of those whose paths it has; its further fields, of
+    the record or of the turns, don't belong to the layout. If several have equally many, none is taken.
+    """
     v = F.try_parse_json(F.col(column))
-    with_layout = records.withColumn("__v", v).withColumn("__f", json_fingerprint(F.col("__v")))
+    with_print = records.withColumn("__v", v).withColumn("__f", json_fingerprint(F.col("__v")))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for print_, name in LAYOUTS.items():
         layout = F.when(F.col("__f") == print_, name).otherwise(layout)
-        turns = F.when(F.col("__f") == print_, turns_of(F.col("__v"), name)).otherwise(turns)
-    return with_layout.withColumns({"layout": layout, "turns": turns}).drop("__v", "__f")
+    with_layout = with_print.withColumn("layout", layout).withColumn("layout", F.when(F.col("layout").isNull(), widest(F.col("__v"))).otherwise(F.col("layout")))
+    for name in MAPPINGS:
+        turns = F.when(F.col("layout") == name, turns_of(F.col("__v"), name)).otherwise(turns)
+    return with_layout.withColumn("turns", turns).drop("__v", "__f")
 
 
 #: Typed turn tables: field names of key, order, role and text, by fingerprint.

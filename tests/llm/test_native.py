@@ -93,3 +93,22 @@ def test_layouts(spark):
     for r in chat_format.canonical_json(df).collect():
         layout, turns = list(records.values())[r.id]
         assert r.layout == layout and (turns is None and r.turns is None or [tuple(t) for t in r.turns] == turns)
+
+
+def test_layouts_with_further_fields(spark):
+    said = [("user", "a"), ("assistant", "b")]
+    records = {
+        '{"messages": [{"role": "user", "content": "a", "id": 1}, {"role": "assistant", "content": "b", "id": 2, "weight": 0.5}]}': ("messages", said),
+        '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], "source": "s", "meta": {"role": [1]}}': ("messages", said),
+        '{"conversations": [{"from": "human", "value": "a", "x": {"y": [{"z": 1}]}}, {"from": "gpt", "value": "b"}], "id": 3}': ("sharegpt", said),
+        '{"dialog": [{"speaker": "human", "text": "a", "name": null}, {"speaker": "bot", "text": "b"}]}': ("dialog", said),
+        '{"instruction": "a", "input": "", "output": "b", "source": "s"}': ("instruction", said),
+        '{"prompt": "a", "completion": "b", "x y": {"b c": 1}}': ("prompt_completion", said),
+        '{"messages": [{"role": "user", "content": null, "id": 1}]}': ("messages", [("user", "")]),
+        '{"prompt": "a", "completion": "b", "response": "c"}': (None, None),
+        '{"messages": [{"role": "user", "content": [{"text": "a"}], "id": 1}]}': (None, None),
+        '{"messages": [{"meta": {"role": "user", "content": "a"}, "id": 1}]}': (None, None), '{"messages": [], "source": "s"}': (None, None), '{"prompt": {"x": 1}, "completion": "b", "source": "s"}': (None, None),
+    }
+    df = spark.createDataFrame(list(enumerate(records)), "id long, record string")
+    got = {r.id: (r.layout, r.turns and [tuple(t) for t in r.turns]) for r in chat_format.canonical_json(df).collect()}
+    assert got == dict(enumerate(records.values()))
