@@ -10,14 +10,15 @@ doc_id that links reach from it.
   coordinate has a value, and coordinates agree with the sets' similarity in expectation, concentrated as if independent.
 * Bands of ``rows`` coordinates each are bucket keys. With 48 bands of 8, a pair of similarity 0.85 shares no bucket with
   a probability of 3e-7, the only way in which a link can be lost.
-* Documents with one word sequence are one representative. Within a bucket no pairs are enumerated: its members are
+* Documents with one word sequence are one node. Verification compares whole sets, a shingle being named by a 64-bit
+  fingerprint (two shingles of a pair of documents with 1,000 each share a name with a probability of 1e-13). A bucket's members are
   compared with one hub, the smallest, and what verification links is joined into classes. Where a hub's members still are in
-  several classes, they are compared with one center of the largest of these classes, so that a class with many hubs has its
-  members listed once, and are put into new buckets by elements of their differences from the center (``difference_keys``: exact,
-  members that are linked share such a bucket). Buckets that hold several classes go on, with up to 32, 512, 512, ... hubs
-  taken out of a bucket per round, until each has been compared with all members of other classes. Pairs are left out only
-  if they share a class already or if the sizes of sets or differences forbid a link; neither can change the result.
-* Texts are joined to pairs from tables in the shared folder, so both sides are shuffled and a frequent hub can be split.
+  several classes, they are compared with one center of the largest of these classes, and meet again where their differences from it
+  agree: exact prefix filters over the differences' rarest elements (``difference_keys``), so that members which are linked share a key.
+  Keys that hold several classes go on, with 1, 16, 256, 512, ... hubs taken out of a key per round, until each has been compared with
+  all members of other classes. Pairs are left out only if they share a class already or if the sizes of sets or differences,
+  the places of the shared element in them or parity bits of their elements forbid a link; none of these can change the result.
+* From the full sets on, all steps are joins and aggregates on ids and arrays of fingerprints; a frequent hub's side can be split.
 
 A null doc_id gets its set size, no class, and stays (kept). Rows that repeat a doc_id and text are returned as often;
 if the texts differ, they count as copies of one document, since the doc_id names it. Other columns are ignored.
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, prepare, table, texts
 
 BANDS, ROWS = 48, 8
+PARITY = ("s0", "s1", "s2", "s3")
 REMEMBERED = 500_000
 
 
@@ -44,13 +46,9 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()  # bytes: only A-Z and ASCII blanks
 
 
-def ordered_shingles(ws: list[bytes], n: int) -> list:
-    """n-word shingles in order; fewer words are one shingle, no words none."""
-    return list(zip(*(ws[i:] for i in range(n)), strict=False)) if len(ws) >= n else [tuple(ws)] if ws else []
-
-
 def shingles(ws: list[bytes], n: int) -> set:
-    return set(ordered_shingles(ws, n))
+    """n-word shingles; fewer words are one shingle, no words none."""
+    return set(zip(*(ws[i:] for i in range(n)), strict=False)) if len(ws) >= n else {tuple(ws)} if ws else set()
 
 
 @lru_cache(maxsize=4)
@@ -89,32 +87,49 @@ def sketch(elements: np.ndarray, t: int) -> np.ndarray:
     return bins
 
 
+class Names(dict):
+    """64-bit names of words; long words are named anew each time, so that the memory is bounded in bytes."""
+
+    def __missing__(self, word: bytes) -> int:
+        name = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = name
+        return name
+
+
+class Fingerprints:
+    """The distinct 64-bit fingerprints of a text's shingles, in order."""
+
+    def __init__(self, n: int):
+        self.n, self.known = n, Names()
+
+    def of(self, ws: list[bytes]) -> np.ndarray:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if len(ws) < self.n:
+            return _mix(np.array([xxhash.xxh3_64_intdigest(b" ".join(ws))] if ws else [], dtype=np.uint64))
+        h = np.fromiter(map(self.known.__getitem__, ws), dtype=np.uint64, count=len(ws))
+        each = np.full(len(ws) - self.n + 1, np.uint64(0))
+        for k in range(self.n):
+            each = _mix(each * np.uint64(31) + h[k : len(h) - self.n + 1 + k])
+        return np.unique(each)
+
+
 class Sketcher:
     def __init__(self, n: int, bands: int, rows: int):
-        self.n, self.bands, self.rows, self.known = n, bands, rows, {}
+        self.bands, self.rows, self.prints = bands, rows, Fingerprints(n)
 
     def of(self, text: str) -> tuple[int, bytes | None, list[int] | None]:
         """Set size, digest of the word sequence and band keys; the last two are null for an empty set."""
-        ws, known = words(text), self.known
+        ws = words(text)
         if not ws:
             return 0, None, None
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in ws:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, ws), dtype=np.uint64, count=len(ws))
-        if len(ws) >= self.n:
-            each = np.full(len(ws) - self.n + 1, np.uint64(0))
-            for k in range(self.n):
-                each = _mix(each * np.uint64(31) + h[k : len(h) - self.n + 1 + k])
-        else:
-            each = _mix(np.array([xxhash.xxh3_64_intdigest(b" ".join(ws))], dtype=np.uint64))
-        bins = sketch(np.unique(each), self.bands * self.rows).reshape(self.bands, self.rows)
+        elements = self.prints.of(ws)
+        bins = sketch(elements, self.bands * self.rows).reshape(self.bands, self.rows)
         key = np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for k in range(self.rows):
             key = _mix(key * np.uint64(31) + bins[:, k])
-        return len(shingles(ws, self.n)), xxhash.xxh3_128_digest(b" ".join(ws)), key.view(np.int64).tolist()
+        return len(elements), xxhash.xxh3_128_digest(b" ".join(ws)), key.view(np.int64).tolist()
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
@@ -127,59 +142,24 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n long, seq binary, bands array<long>")
 
 
-def difference_keys(hub: int, own: set, of_hub: dict, linked: bool, percent: int) -> tuple[int, list[int]]:
-    """The size of the difference from the hub, and keys, one of which a member of a hub's bucket shares with each member that it is linked with but not through the hub.
-
-    With D the symmetric difference of a set and the hub's, xy's difference is that of Dx and Dy, so a link of x and y asks for
-    |Dx & Dy| >= (|Dx| + |Dy| - (1 - p) |x | y|) / 2. If y is not linked with the hub, |Dy| > (1 - p) |y | hub|, which gives
-    more than p |Dx| / 2 common elements, and (with |x | y| <= |y| / p) at least |Dy| - (1 - p) |y| / p. Of sets with that
-    much in common, the first |D| - common + 1 elements in any one order share one. Elements that the hub lacks come first, as
-    they are rare; the hub's own go by stretches of eight places (``of_hub`` has them), so that the elements that one changed
-    word takes away stay together and few changes fill the rest.
-    """
-    d = own ^ of_hub.keys()
-    if not d:
-        return 0, []
-    if linked:
-        common = percent * len(d) // 200 + 1
-    else:
-        common = max(1, -((-percent * len(d) + (100 - percent) * len(own)) // percent))
-    name = lambda g: xxhash.xxh3_64_intdigest(b" ".join(g), hub & 0xFFFFFFFF)
-    lacking = sorted(name(g) for g in d if g not in of_hub)
-    places = sorted((at // 8 * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, at, g) for g in d if (at := of_hub.get(g)) is not None)
-    length = len(d) - common + 1
-    names = lacking[:length] + [name(g) for *_, g in places[: max(0, length - len(lacking))]]
-    return len(d), [h - (1 << 63) for h in names]
-
-
-def verified(pairs: DataFrame, candidates: DataFrame, n: int, percent: int, differences: bool = False) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; with ``differences`` all pairs, with linked and their keys.
-
-    The hub b comes last, so its set is made once for a run of pairs.
-    """
-    left = candidates.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = candidates.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+def full_sets(docs: DataFrame, n: int) -> DataFrame:
+    """seq, n and the whole set of fingerprints of each row of ``docs``."""
 
     def run(batches):
-        last, hub = None, {}
-        for batch in batches:
-            found = []
-            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (b, tb) != last:  # an id may have several texts
-                    last, hub = (b, tb), {g: i for i, g in enumerate(ordered_shingles(words(tb), n))}
-                own = shingles(words(ta), n)
-                common = len(own & hub.keys())
-                linked = common > 0 and 100 * common >= percent * (len(own) + len(hub) - common)
-                if differences:
-                    found.append((a, b, linked, *difference_keys(b, own, hub, linked, percent)))
-                elif linked:
-                    found.append((a, b))
-            cols = list(zip(*found, strict=True)) or [()] * (5 if differences else 2)
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], ["a", "b", "linked", "d", "keys"][: len(cols)])
-
-    return both.mapInArrow(run, "a long, b long" + ", linked boolean, d long, keys array<long>" * differences)
+        prints = Fingerprints(n)
+        for b in batches:
+            ws = [words(t) for t in b.column("text").to_pylist()]
+            sets = [prints.of(w).view(np.int64) for w in ws]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in ws], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["seq", "n", "elements"])
+
+    return texts(docs).mapInArrow(run, "seq binary, n long, elements array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with the sizes na, nb of their whole sets, ``common`` of their intersection, linked, and both sets sa, sb."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("elements").alias("s" + x))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    return both.withColumn("linked", (F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))))
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -200,6 +180,57 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         label = new.select("id", "c")
 
 
+def word_sequences(scratch: Scratch, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seq, rep, node) of each distinct word sequence: its smallest doc_id, and an id that no other sequence has; and the doc_ids with several.
+
+    Of a doc_id with several texts only one sequence takes the doc_id for its node; a sequence without any such doc_id is
+    named by its hash.
+    """
+    h = F.xxhash64("seq")
+    several = scratch.save(members.groupBy("doc_id").agg(F.min(h).alias("first"), F.max(h).alias("last")).where("first < last").select("doc_id", "first"), "several")
+    own = members.select("doc_id", "seq").join(several, "doc_id", "left")
+    named = own.groupBy("seq").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("first").isNull() | (F.col("first") == h), F.col("doc_id"))).alias("node"))
+    return scratch.save(named.select("seq", "rep", F.coalesce("node", h).alias("node")), "sequences"), several
+
+
+def differences(scratch: Scratch, compared: DataFrame) -> DataFrame:
+    """Orders the difference x, of size d, of members a (n elements) from their centers b (nb) by rarity.
+
+    ``rare`` holds its elements that another member under the center has too, by rising number of members (ties by value); the
+    d - size(rare) others come before them in the order. s0 to s3 are 256 parity bits of x: where those of two members differ,
+    so do the members, in at least one element each.
+    """
+    element = compared.select("b", "a", F.explode("x").alias("e"))
+    shared = element.groupBy("b", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    lists = element.join(shared, ["b", "e"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("x"))
+    ordered = lists.select("b", "a", F.transform("x", lambda y: y["e"]).alias("rare"))
+    parity = [F.expr(f"aggregate(x, 0L, (s, e) -> s ^ if(shiftright(e, 6) & 3 = {k}, shiftleft(1L, cast(e & 63 as int)), 0L))").alias(f"s{k}") for k in range(4)]
+    return scratch.save(compared.select("a", "b", "n", "nb", "d", *parity).join(ordered, ["b", "a"]), "differences")
+
+
+def difference_keys(rare: DataFrame, percent: int) -> DataFrame:
+    """(b, key, a, n, d, s0 to s3, pos): members under one center that are linked, but not both with the center, share a key.
+
+    With D the symmetric difference of a set and the center's, xy's difference is that of Dx and Dy. x and y are linked exactly if it
+    has at most k (|x| + |y|) elements, k = (1 - p) / (1 + p), so if |Dx & Dy| >= t = (|Dx| + |Dy| - k (|x| + |y|)) / 2. (If
+    t <= 0, both are linked with the center.) Of two sets in one order with t elements in common, the first |D| - t + 1 elements of
+    each share one. t is bounded from below for each level of |Dy|, levels being stretches of sizes, and a key names an
+    element and the levels of both members, so that elements that many members share are mostly out of reach.
+    """
+    up, down = 100 + percent, 100 - percent
+    width = F.greatest(F.lit(1), F.floor(down * F.col("nb") / (3 * up)))
+    reach = F.floor(down * F.col("n") / percent)
+    own = rare.withColumns({"width": width, "level": F.floor(F.col("d") / width), "before": F.col("d") - F.size("rare")})
+    levels = own.withColumn("other", F.explode(F.sequence(F.floor(F.greatest(F.lit(1), F.col("d") - reach) / F.col("width")), F.floor((F.col("d") + reach) / F.col("width")))))
+    least, most = F.greatest(F.lit(1), F.col("other") * F.col("width")), F.col("other") * F.col("width") + F.col("width") - 1
+    size = F.least(F.floor(100 * F.col("n") / percent), F.col("nb") + most)
+    t = F.greatest(F.lit(1), F.ceil((up * (F.col("d") + least) - down * (F.col("n") + size)) / (2 * up)))
+    fits = levels.withColumn("t", t).where((F.col("t") <= F.col("d")) & (F.col("t") <= most))
+    taken = F.slice("rare", F.lit(1), F.greatest(F.lit(0), F.col("d") - F.col("t") + 1 - F.col("before")).cast("int"))
+    each = fits.select("b", "a", "n", "d", *PARITY, "before", "level", "other", F.posexplode(taken).alias("at", "e"))
+    return each.select("b", F.xxhash64("e", F.least("level", "other"), F.greatest("level", "other")).alias("key"), "a", "n", "d", *PARITY, (F.col("before") + F.col("at")).alias("pos"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     spark = docs.sparkSession
@@ -207,76 +238,77 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     scratch = Scratch(spark, "near")
     all_ = scratch.save(sketches(docs, n, bands, rows), "sketches")
     members = all_.where("n > 0 and doc_id is not null").select("doc_id", "seq", "n", "bands")
-    # one representative a word sequence; a doc_id with several texts links their sequences
-    sequence = scratch.save(members.groupBy("seq").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "sequences")
-    keys = members.withColumnRenamed("doc_id", "rep").join(sequence.select("seq", "rep"), ["seq", "rep"], "left_semi").dropDuplicates(["seq"]).select("rep", "n", "bands")
+    sequence, several = word_sequences(scratch, members)
+    keys = members.withColumnRenamed("doc_id", "rep").join(sequence, ["seq", "rep"]).dropDuplicates(["seq"]).select("seq", "rep", "node", "n", "bands")
     reps = scratch.save(keys, "representatives")
-    banded = reps.select("rep", "n", F.explode("bands").alias("key"))
-    hubs = scratch.save(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("key", "hub"), "hubs-0")
-    alive = scratch.save(banded.join(hubs, "key").select("key", "rep", "n", "hub"), "buckets-0")
-    scratch.drop("representatives")
-
-    several = members.groupBy("doc_id").agg(F.min("seq").alias("s1"), F.max("seq").alias("s2")).where("s1 < s2").select("doc_id")
-    texts_of = members.select("doc_id", "seq").join(several, "doc_id", "left_semi").distinct()
-    same_id = texts_of.join(sequence, "seq").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
-    links = scratch.save(same_id, "links-0")
-    pairs = alive.select(F.col("rep").alias("a"), F.col("hub").alias("b")).where("a != b").distinct()
-    first = scratch.save(pairs, "pairs-0")
-    sizes = scratch.save(alive.select("rep", "n").distinct(), "sizes")
-    need = texts(docs).where("doc_id is not null").join(sizes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    candidates = scratch.save(need, "texts")
-    scratch.drop("buckets-0", "hubs-0")
-    links = links.unionByName(scratch.save(verified(first, candidates, n, percent), "found-0"))
+    banded = reps.select("node", F.explode("bands").alias("key"))
+    hubs = scratch.save(banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub"), "hubs-0")
+    pairs = scratch.save(banded.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs-0")
+
+    met = scratch.save(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "met")
+    texts_of = reps.join(met, "node").select("seq", "rep", "node")
+    need = texts(docs).join(texts_of.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = full_sets(need, n).join(texts_of.select("seq", "node"), "seq").dropDuplicates(["node"])
+    sets = scratch.save(sets.select("node", "n", "elements"), "sets")
+    scratch.drop("representatives", "hubs-0", "met")
+
+    # a doc_id with several texts links their sequences
+    texts_of_one = members.select("doc_id", "seq").join(several.select("doc_id"), "doc_id").join(sequence, "seq").select("doc_id", "node").distinct()
+    links = scratch.save(texts_of_one.groupBy("doc_id").agg(F.min("node").alias("b")).join(texts_of_one, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct(), "links-0")
+    links = links.unionByName(scratch.save(verified(pairs, sets, percent).where("linked").select("a", "b"), "found-0"))
     class_of = components(scratch, links, "classes-0")
-    classed = lambda df: df.join(class_of.select(F.col("id").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    # a class has many hubs: members that a hub left in several classes are put under one center, a hub of the largest of them
+    classed = lambda df, node: df.join(class_of.select(F.col("id").alias(node), "c"), node, "left").withColumn("c", F.coalesce("c", node))
+    # members that a hub left in several classes are put under one center, a hub of the largest of these classes
     weight = class_of.groupBy("c").agg(F.count(F.lit(1)).alias("w"))
-    in_bucket = first.select("b", F.col("a").alias("rep")).unionByName(first.select("b", F.col("b").alias("rep")).distinct())
-    of_hub = scratch.save(classed(in_bucket).join(weight, "c", "left").withColumn("w", F.coalesce("w", F.lit(1))), "classed")
-    member = F.when(F.col("rep") != F.col("b"), F.col("c"))
+    in_bucket = pairs.select("b", F.col("a").alias("node")).unionByName(pairs.select("b", F.col("b").alias("node")).distinct())
+    of_hub = scratch.save(classed(in_bucket, "node").join(weight, "c", "left").withColumn("w", F.coalesce("w", F.lit(1))), "classed")
+    member = F.when(F.col("node") != F.col("b"), F.col("c"))
     buckets = of_hub.groupBy("b").agg(F.min(member).alias("lo"), F.max(member).alias("hi"), F.max(F.struct("w", (-F.col("c")).alias("less"))).alias("best"), F.count(F.lit(1)).alias("size"))
-    hub_class = of_hub.where("rep = b").select("b", F.col("c").alias("own"))
+    hub_class = of_hub.where("node = b").select("b", F.col("c").alias("own"))
     buckets = scratch.save(buckets.join(hub_class, "b").select("b", "own", "size", (-F.col("best.less")).alias("c"), (F.col("lo") < F.col("hi")).alias("open")), "open")
     center = buckets.groupBy(F.col("own").alias("c")).agg(F.min(F.struct(-F.col("size"), "b")).alias("first")).select("c", F.col("first.b").alias("center"))
-    # a class without a hub: its id may be in no bucket and then has no text here
-    other = of_hub.groupBy("c").agg(F.min("rep").alias("other"))
+    other = of_hub.groupBy("c").agg(F.min("node").alias("other"))  # a class without a hub
     placed = buckets.where("open").select("b", "c").join(center, "c", "left").join(other, "c").select("b", F.coalesce("center", "other").alias("center"))
-    under = scratch.save(of_hub.join(placed, "b").where("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), "pairs-under")
-    compared = scratch.save(verified(under, candidates, n, percent, differences=True), "found-under")
-    tested = first.unionByName(under.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    under = scratch.save(of_hub.join(placed, "b").where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), "pairs-under")
+    difference = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    compared = verified(under, sets, percent).select("a", "b", F.col("na").alias("n"), "nb", "linked", (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("d"), difference.alias("x"))
+    compared = scratch.save(compared, "found-under")
     links = links.unionByName(compared.where("linked").select("a", "b"))
-    class_of = components(scratch, links, "classes-under")
-    # what a center leaves in several classes meets again where the differences from it agree
-    met = compared.select(F.posexplode("keys").alias("pos", "key"), F.col("a").alias("rep"), "d")
-    live = scratch.save(met.join(sizes, "rep").select("key", "rep", "n", "d", "pos"), "met-0")
-    hubs_a_round, k = 2, 0
+    class_of = components(scratch, links, "classes-1")
+    rare = differences(scratch, compared)
+    live = difference_keys(rare, percent)
+    scratch.drop("classed", "open", "pairs-0", "pairs-under", "sets")
+    slots, k = 1, 0
     while True:
-        state = scratch.save(classed(live), f"state-{k}")
-        open_keys = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        live = scratch.save(state.join(open_keys, "key").select("key", "rep", "n", "d", "pos", "c"), f"buckets-{k + 1}")
-        scratch.drop(f"state-{k}", f"buckets-{k}", f"met-{k}")
+        k += 1
+        state = scratch.save(classed(live, "a"), f"state-{k}")
+        open_keys = state.groupBy("b", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b", "key")
+        live = scratch.save(state.join(open_keys, ["b", "key"]), f"keys-{k}")
+        scratch.drop(f"state-{k}", f"keys-{k - 1}")
         if live.isEmpty():
             break
-        k += 1
-        hubs_a_round = min(hubs_a_round * 16, 512)
-        slot = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(hubs_a_round))
-        hubs = scratch.save(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "n", "d", "pos", "c")).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hn"), F.col("h.d").alias("hd"), F.col("h.pos").alias("hpos"), F.col("h.c").alias("hc")), f"hubs-{k}")
-        # sizes rule out many pairs: |small| / |large| bounds the similarity, and with |x | y| <= |small| / p the pair has
-        # (|Dx| + |Dy| - (1 - p) / p |small|) / 2 common elements, the first of them that far from the end of both D
-        small, room = F.least("n", "hn"), (100 - percent) * F.least("n", "hn")
-        fits = lambda pos, own, other: 2 * percent * F.col(pos) <= percent * (F.col(own) - F.col(other)) + room  # noqa: E731, B023
-        near = (F.col("c") != F.col("hc")) & (100 * small >= percent * F.greatest("n", "hn")) & fits("pos", "d", "hd") & fits("hpos", "hd", "d")
-        found = live.join(hubs, "key").where(near).select(F.least("rep", "hub").alias("b"), F.greatest("rep", "hub").alias("a")).distinct()
-        chosen = scratch.save(found.join(tested, ["a", "b"], "left_anti").select("a", "b"), f"pairs-{k}")
-        tested = tested.unionByName(chosen)
-        new = scratch.save(verified(chosen, candidates, n, percent), f"found-{k}")
+        # some members of each key are its hubs of this round, and leave it: a bucket that the links close early lists few pairs
+        slot = F.pmod(F.xxhash64("a", F.lit(k)), F.lit(slots))
+        kept = ["a", "n", "d", *PARITY, "pos", "c"]
+        hubs = scratch.save(live.groupBy("b", "key", slot.alias("slot")).agg(F.min(F.struct(*kept)).alias("h")).select("b", "key", *(F.col("h." + x).alias("h" + x) for x in kept)), f"hubs-{k}")
+        up, down = 100 + percent, 100 - percent
+        most = F.least(F.col("d") - F.col("pos"), F.col("hd") - F.col("hpos"))  # elements in common, from the shared one on
+        apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col("h" + x))) for x in PARITY), F.lit(0))  # elements that only one of them has, at least
+        near = (up * apart <= down * (F.col("n") + F.col("hn"))) & (F.col("c") != F.col("hc")) & (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (2 * up * most >= up * (F.col("d") + F.col("hd")) - down * (F.col("n") + F.col("hn")))
+        found = live.join(hubs, ["b", "key"]).where(near).select(F.greatest("a", "ha").alias("a"), F.least("a", "ha").alias("o"), "b").groupBy("a", "o").agg(F.min("b").alias("b"))
+        of = lambda x: rare.select(F.col("a").alias(x), "b", F.col("n").alias("n" + x), F.col("d").alias("d" + x), F.col("rare").alias("r" + x))
+        both = found.join(of("a"), ["a", "b"]).join(of("o"), ["o", "b"])
+        linked = 2 * up * F.size(F.array_intersect("ra", "ro")) >= up * (F.col("da") + F.col("do")) - down * (F.col("na") + F.col("no"))
+        new = scratch.save(both.where(linked).select("a", F.col("o").alias("b")), f"found-{k}")
         if not new.isEmpty():
             links = links.unionByName(new)
-            class_of = components(scratch, links, f"classes-{k}")
-        live = live.join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "d", "pos")
-    scratch.drop("texts")
-    named = class_of.select(F.col("id").alias("rep"), F.col("c").alias("component_id"))
-    by_sequence = scratch.save(sequence.select("seq", "rep").join(named, "rep", "left").select("seq", F.coalesce("component_id", "rep").alias("component_id")), "classes")
+            class_of = components(scratch, links, f"classes-{k + 1}")
+        live = live.join(hubs.select("b", "key", F.col("ha").alias("a")), ["b", "key", "a"], "left_anti").drop("c")
+        slots = min(slots * 16, 512)
+    scratch.drop("differences", f"keys-{k}", f"state-{k}", *(f"hubs-{i}" for i in range(1, k)))
+    of_sequence = sequence.join(class_of.select(F.col("id").alias("node"), "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    lowest = of_sequence.join(class_of.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("rep").alias("lowest"))
+    by_sequence = scratch.save(of_sequence.join(lowest, "c", "left").select("seq", F.coalesce("lowest", "rep").alias("component_id")), "classes")
     linked = all_.where("n > 0 and doc_id is not null").join(by_sequence, "seq").select("doc_id", "n", "component_id")
     alone = all_.where("not (n > 0 and doc_id is not null)").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = linked.unionByName(alone)

@@ -116,23 +116,71 @@ def test_sketch_fills_and_estimates():
     assert abs((near_dedup.sketch(a, 2048) == near_dedup.sketch(b, 2048)).mean() - 0.8) < 0.05
 
 
-def test_linked_members_of_a_hub_share_a_difference_key():
+def test_linked_members_of_a_center_share_a_difference_key(spark, tmp_path):
+    """Not those that both are linked with the center; the shared place has to leave room for what they need in common."""
+    from sieveline.llm.common import Scratch
+
     rng = random.Random(8)
-    seen = 0
     for percent in (60, 80, 85):
-        for _ in range(300):
-            hub = {(b"%d" % k,) for k in range(rng.randint(5, 40))}
-            def near(s, rng=rng):
-                s = set(s)
-                for _ in range(rng.randint(0, 9)):
-                    s.discard(rng.choice(sorted(s))) if rng.random() < 0.5 and len(s) > 1 else s.add((b"n%d" % rng.randint(0, 30),))
-                return s
-            x = near(hub)
-            y = near(x if rng.random() < 0.7 else hub)
-            is_linked = lambda a, b, p=percent: 100 * len(a & b) >= p * len(a | b)
-            lx, ly = is_linked(x, hub), is_linked(y, hub)
-            if is_linked(x, y) and x != hub and y != hub and not (lx and ly):
-                seen += 1
-                kx, ky = (set(near_dedup.difference_keys(7, s, {g: i for i, g in enumerate(sorted(hub))}, link, percent)[1]) for s, link in ((x, lx), (y, ly)))
-                assert kx & ky
-    assert seen > 50
+        center = set(range(rng.randint(30, 60)))
+        sets = {}
+        for i in range(150):
+            s = set(sets[rng.randrange(i)]) if i and rng.random() < 0.6 else set(center)
+            for _ in range(rng.randint(1, 9)):
+                s.discard(rng.choice(sorted(s))) if rng.random() < 0.5 else s.add(rng.randint(1000, 1060))
+            sets[i] = s
+        rows = [(i, -1, len(s), len(center), len(s ^ center), sorted(s ^ center)) for i, s in sets.items() if s != center]
+        df = spark.createDataFrame(rows, "a long, b long, n long, nb long, d long, x array<long>")
+        scratch = Scratch(spark, "keys")
+        got = near_dedup.difference_keys(near_dedup.differences(scratch, df), percent).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.a, {}).setdefault(r.key, r)
+        linked = lambda x, y, p=percent: 100 * len(x & y) >= p * len(x | y)
+        seen = 0
+        for i, x in sets.items():
+            for j in range(i):
+                y = sets[j]
+                if x != y and x != center and y != center and linked(x, y) and not (linked(x, center) and linked(y, center)):
+                    seen += 1
+                    both = by.get(i, {}).keys() & by.get(j, {}).keys()
+                    first = [k for k in both if min(by[i][k].d - by[i][k].pos, by[j][k].d - by[j][k].pos) >= len((x ^ center) & (y ^ center))]
+                    assert first
+        assert seen > 20
+
+
+def test_a_bucket_of_many_unlinked_near_neighbours(spark, monkeypatch):
+    """Copies of a text that isn't there, each with changes of its own: they fill buckets, and few pairs of them are compared."""
+    from sieveline.llm.common import Scratch
+
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(110)]
+    rows = []
+    for i in range(2000):
+        t = list(base)
+        for place in rng.sample(range(110), rng.choice([1, 2, 6, 8])):
+            t[place] = f"new{rng.randrange(40)}"
+        rows.append((i, " ".join(t)))
+    made, save = {}, Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [near_dedup.shingles(t.encode().split(), 3) for _, t in rows]
+    names = {g: k for k, g in enumerate({g for x in sets for g in x})}
+    has = np.zeros((len(rows), len(names)), dtype=np.float32)
+    for i, x in enumerate(sets):
+        has[i, [names[g] for g in x]] = 1
+    common, size = has @ has.T, has.sum(axis=1)
+    linked, want = 100 * common >= 85 * (size[:, None] + size - common), np.arange(len(rows))
+    while True:
+        lower = np.where(linked, want[None, :], len(rows)).min(axis=1)
+        if (lower == want).all():
+            break
+        want = lower
+    assert got == dict(enumerate(want.tolist()))
+    assert sum(n for name, n in made.items() if name.startswith("found-")) < 60 * len(rows)
