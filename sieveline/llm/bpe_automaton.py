@@ -7,25 +7,27 @@ one, to the state that v reached before. So the state after a token depends on t
 state, and the arc (state, t) exists unless a removed arc x of the state lies on the left edge of t and was removed
 before t's part x was merged further. A word has exactly one accepted sequence, and so has each of its prefixes; a
 word is therefore encoded from left to right by table-driven transitions, over a trie of the arc labels, with one
-possible last token for each prefix. Decoding emits the labels of the arcs, joined as the library joins them.
+possible last token for each prefix. The tables (trie, state after each token, missing arcs of each state as sorted intervals) are
+compiled to arrays once, and all new words of a batch step through them together. Decoding emits the labels of the arcs, joined as
+the library joins them.
 
 Nulls count as empty texts (no tokens, empty decoded text). Repeated rows give repeated rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .clip_words import SPECIAL, byte_chars, default_path, load, pieces
+from .clip_words import SPECIAL, SpanTable, byte_chars, default_path, load, pieces, pieces_of_spans
 from .common import prepare, texts
 
 LAST = 1 << 30
-#: Words remembered by a worker; beyond that it forgets and starts anew.
-REMEMBERED = 500_000
 
 
 class TokenAutomaton:
@@ -55,9 +57,7 @@ class TokenAutomaton:
             self.when.append(rank)
             self.after[u] = len(self.removed) - 1
             self.left[w], self.right[w], self.born[w] = u, v, rank
-        self._trie()
-        self._arcs: dict[int, bool] = {}
-        self._lacks: dict[int, dict[int, int]] = {0: {}}
+        self._compile()
 
     def _merged_before(self, rule: dict[tuple[int, int], int], u: int, v: int) -> bool:
         """Whether the tokens never stand side by side: one of them cannot be made, or an earlier merge bridges them."""
@@ -78,75 +78,120 @@ class TokenAutomaton:
                 return False
             until, y = self.born[y], self.right[y]
 
-    def _trie(self) -> None:
-        """Arc labels by their base symbols: node * symbols + symbol -> node, and the token that ends in a node."""
+    def _compile(self) -> None:
+        """The transition tables.
+
+        Trie of the arc labels: ``edges`` (node * width + symbol, sorted) lead to ``nodes``; ``token`` is what ends in a node.
+        States that follow a token are numbered; ``after_of[token]`` is the token's, 0 the first one. Tokens are numbered
+        too, by a walk of their left parts that leaves a token after all that begin with it, earlier merges first. What a removed
+        arc v takes away, v and the tokens whose first merge onto v came later, is then one interval of numbers, and a
+        state's missing arcs are disjoint intervals: ``starts`` (state << 32 | first number, sorted) and ``stops``.
+        """
         spelled = {s: (s,) for s in self.symbols}
-        self.width = max(spelled) + 1
-        self.next: dict[int, int] = {}
-        self.token: list[int] = [-1]
+        self.width, nxt, token = max(spelled) + 1, {}, [-1]
         for w, u in self.left.items():  # in rank order: parts come first
             spelled[w] = spelled[u] + spelled[self.right[w]]
         for t, symbols in spelled.items():
             node = 0
             for s in symbols:
-                k = node * self.width + s
-                node = self.next.get(k, 0)
-                if not node:
-                    node = self.next[k] = len(self.token)
-                    self.token.append(-1)
-            self.token[node] = t
-
-    def _missing(self, state: int) -> dict[int, int]:
-        """Removed arcs of a state with the rank of their removal."""
-        found = self._lacks.get(state)
-        if found is None:
-            found, s = {}, state
+                node = nxt.setdefault(node * self.width + s, len(token))
+                if node == len(token):
+                    token.append(-1)
+            token[node] = t
+        self.edges = np.array(sorted(nxt), dtype=np.int64)
+        self.nodes = np.array([nxt[k] for k in self.edges.tolist()], dtype=np.int64)
+        self.token = np.array(token, dtype=np.int64)
+
+        longer: dict[int, list[int]] = {}
+        for w, u in self.left.items():
+            longer.setdefault(u, []).append(w)
+        number, first = {}, {}
+        for root in sorted(self.symbols):
+            walk = [(root, 0)]
+            first[root] = len(number)
+            while walk:
+                t, k = walk.pop()
+                if k == len(longer.get(t, ())):
+                    number[t] = len(number)
+                else:
+                    child = longer[t][k]
+                    walk += [(t, k + 1), (child, 0)]
+                    first[child] = len(number)
+        size = max(self.labels) + 1
+        self.number, self.after_of = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        self.number[list(number)] = list(number.values())
+        states = sorted({0, *self.after.values()})
+        index = {s: k for k, s in enumerate(states)}
+        for t, s in self.after.items():
+            self.after_of[t] = index[s]
+        interval = [(0, -1)]
+        for v, rank in zip(self.removed[1:], self.when[1:], strict=True):
+            more = longer.get(v, [])
+            k = bisect.bisect_left(more, rank, key=self.born.__getitem__)
+            interval.append((first[more[k]] if k < len(more) else number[v], number[v]))
+        rows = []
+        for k, s in enumerate(states):
             while s > 0:
-                found[self.removed[s]] = self.when[s]  # an arc goes once
+                rows.append((k, *interval[s]))
                 s = self.copy_of[s]
-            self._lacks[state] = found
-        return found
-
-    def arc(self, state: int, token: int) -> bool:
-        """Whether the state has an arc for the token."""
-        k = state * 65536 + token
-        found = self._arcs.get(k)
-        if found is None:
-            lacks, x, grown = self._missing(state), token, LAST
-            found = True
-            while True:
-                r = lacks.get(x)
-                if r is not None and r <= grown:
-                    found = False
-                    break
-                if x not in self.left:
-                    break
-                grown, x = self.born[x], self.left[x]
-            self._arcs[k] = found
-        return found
+        table = np.array(rows, dtype=np.int64).reshape(-1, 3)
+        table = table[np.lexsort((table[:, 1], table[:, 0]))]
+        begin, reach = table[:, 0] << 32 | table[:, 1], np.maximum.accumulate(table[:, 0] << 32 | table[:, 2])
+        new = np.r_[True, begin[1:] > reach[:-1]][: len(table)]  # intervals that lie in another one go
+        self.starts, self.stops = begin[new], np.maximum.reduceat(reach, np.flatnonzero(new)) if len(table) else reach
+
+    def _step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The trie's node after a symbol, 0 if there is none."""
+        key = node * self.width + symbol
+        at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+        return np.where(self.edges[at] == key, self.nodes[at], 0)
+
+    def arcs(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether each state has an arc for the token beside it."""
+        if not len(self.starts):
+            return np.ones(len(state), dtype=bool)
+        key = state << 32 | self.number[token]
+        at = np.searchsorted(self.starts, key, side="right") - 1
+        return (at < 0) | (self.stops[at] < key)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words behind each other, and their counts per word; the words must not be empty.
+
+        All words step together: from each place that a prefix ends at, in order, the trie is walked on, and the first token that
+        ends at a later place with an arc from the prefix's state is that longer prefix's last one; there is no other.
+        """
+        data = [w.encode("utf-8") for w in words]
+        lens = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+        raw, ends = np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum(lens)
+        symbols = np.array(self.inner, dtype=np.int64)[raw]
+        symbols[ends - 1] = np.array(self.final, dtype=np.int64)[raw[ends - 1]]
+        begins = ends - lens
+        last, start = np.full(len(raw), -1, dtype=np.int64), np.zeros(len(raw), dtype=np.int64)
+        order = np.argsort(-lens, kind="stable")
+        begins_, ends_, lens_ = begins[order], ends[order], lens[order]
+        for j in range(int(lens_[0])):
+            n = int(np.searchsorted(-lens_, -j, side="left"))  # words longer than j
+            at, stop = begins_[:n] + j, ends_[:n]
+            state = self.after_of[last[at - 1]] if j else np.zeros(n, dtype=np.int64)
+            origin, node = at, np.zeros(n, dtype=np.int64)
+            while len(at):
+                node = self._step(node, symbols[at])
+                t = self.token[node]
+                open_ = np.flatnonzero((node > 0) & (t >= 0) & (last[at] < 0))
+                open_ = open_[self.arcs(state[open_], t[open_])]
+                last[at[open_]], start[at[open_]] = t[open_], origin[open_]
+                go = np.flatnonzero((node > 0) & (at + 1 < stop))
+                at, stop, state, origin, node = at[go] + 1, stop[go], state[go], origin[go], node[go]
+        on = np.zeros(len(raw), dtype=bool)
+        at, begin = ends - 1, begins
+        while len(at):  # back along each word's accepted sequence
+            on[at] = True
+            go = np.flatnonzero(start[at] > begin)
+            at, begin = start[at[go]] - 1, begin[go]
+        return last[on], np.add.reduceat(on, begins, dtype=np.int64)
 
     def encode_word(self, word: str) -> list[int]:
-        data = word.encode("utf-8")
-        symbols = [self.inner[b] for b in data]
-        symbols[-1] = self.final[data[-1]]
-        n, nxt, width, token, after = len(symbols), self.next, self.width, self.token, self.after
-        last: list[int] = [-1] * (n + 1)
-        start: list[int] = [0] * (n + 1)
-        for j in range(n):
-            state = after.get(last[j], 0) if j else 0
-            node = 0
-            for i in range(j, n):
-                node = nxt.get(node * width + symbols[i], 0)
-                if not node:
-                    break
-                t = token[node]
-                if t >= 0 and last[i + 1] < 0 and self.arc(state, t):
-                    last[i + 1], start[i + 1] = t, j
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i = start[i]
-        return out[::-1]
+        return self.encode_words([word])[0].tolist()
 
     def encode(self, text: str) -> list[int]:
         return [i for p in pieces(text) for i in ([self.special[p]] if p in self.special else self.encode_word(p))]
@@ -161,26 +206,38 @@ def automaton(path: str) -> TokenAutomaton:
 
 
 class Coder:
-    """Encodes and decodes batches; a word's ids, as decimal text, and its decoded labels are remembered."""
+    """Encodes and decodes batches; a span's ids, as decimal text, and its decoded labels are remembered."""
 
     def __init__(self, path: str):
-        self.auto = automaton(path)
-        self._forget()
+        self.auto, self.table = automaton(path), SpanTable(self.learn, 500_000)
+
+    def learn(self, some: list[str]) -> list[tuple[str, str]]:
+        words, ends = pieces_of_spans(some)
+        own = list({*words}.difference(SPECIAL))
+        known = {x: [self.auto.special[x]] for x in SPECIAL}
+        if own:
+            ids, counts = self.auto.encode_words(own)
+            ids, upto = ids.tolist(), np.cumsum(counts).tolist()
+            known.update((w, ids[a:b]) for w, a, b in zip(own, [0, *upto], upto, strict=False))
+        coded = {w: (" ".join(map(str, x)), self.auto.decode(x)) for w, x in known.items()}
+        out = []
+        for a, b in zip([0, *ends], ends, strict=False):
+            if b - a == 1:
+                out.append(coded[words[a]])
+            else:
+                own = [coded[w] for w in words[a:b]]
+                out.append((" ".join([x for x, _ in own]), " ".join([y for _, y in own])))
+        return out
+
+    def code(self, batch: list[str] | pa.Array) -> list[tuple[str, str]]:
+        """Of each text the decimal ids, and the decoded text, each joined by spaces."""
+        return [(" ".join([x for x, _ in v]), " ".join([y for _, y in v])) for v in self.table.of(batch)]
 
-    def _forget(self) -> None:
-        self.ids = {s: str(self.auto.special[s]) for s in SPECIAL}
-        self.out = {s: self.auto.decode([self.auto.special[s]]) for s in SPECIAL}
 
-    def code(self, text: str) -> tuple[str, str]:
-        """Decimal ids, and the decoded text, each joined by spaces."""
-        if len(self.ids) > REMEMBERED:
-            self._forget()
-        ws, ids, out = pieces(text), self.ids, self.out
-        for w in ws:
-            if w not in ids:
-                found = self.auto.encode_word(w)
-                ids[w], out[w] = " ".join(map(str, found)), self.auto.decode(found)
-        return " ".join([ids[w] for w in ws]), " ".join([out[w] for w in ws])
+@lru_cache(maxsize=1)
+def coder(path: str) -> Coder:
+    """One for each worker, so that its tasks share what they remember."""
+    return Coder(path)
 
 
 def code_documents(docs: DataFrame, path: str | None = None, keep: bool = True) -> DataFrame:
@@ -189,9 +246,9 @@ def code_documents(docs: DataFrame, path: str | None = None, keep: bool = True)
     path = path or default_path()
 
     def run(batches):
-        coder = Coder(path)
+        code = coder(path).code
         for b in batches:
-            rows = [coder.code(t) for t in b.column("text").to_pylist()]
+            rows = code(b.column("text"))
             n = pa.array([x.count(" ") + 1 if x else 0 for x, _ in rows], pa.int64())
             digests = [pa.array([hashlib.sha256(r[k].encode("utf-8")).hexdigest() for r in rows], pa.string()) for k in (0, 1)]
             cols = [b.column("doc_id"), n, *digests]

@@ -1,16 +1,22 @@
 """Normalisation and pre-splitting of ``word_bpe_49k.json``: NFC, lower case, words, digits and runs of signs.
 
-``pieces`` yields what the library's pre-tokenizer yields; tests compare it with the library on every code point.
+``pieces`` yields what the library's pre-tokenizer yields; tests compare it with the library on every code point. ``SpanTable``
+looks texts up by their spans between white space, so that frequent ones are normalised and split once.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _special = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 _far = re.compile(r"[^\x00-ɏ]")
@@ -82,6 +88,80 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+_white = re.compile(f"[{SPACES}]+")
+#: Put between spans that are split at once; a span that holds it is split alone.
+MARK = "\x01"
+
+
+def spans(text: str) -> list[str]:
+    """Runs of other characters than white space; no piece reaches over white space, so a text's pieces are those of its spans."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space to str.split(), not to the library
+        return [x for x in _white.split(text) if x]
+    return text.split()
+
+
+def pieces_of_spans(some: list[str]) -> tuple[list[str], list[int]]:
+    """The pieces of all spans behind each other, and where each span's end."""
+    if any(MARK in x for x in some):
+        out, ends = [], []
+        for x in some:
+            out += pieces(x)
+            ends.append(len(out))
+        return out, ends
+    out = pieces(f" {MARK} ".join(some))
+    at = [i for i, p in enumerate(out) if p == MARK]
+    return [p for p in out if p != MARK], [i - k for k, i in enumerate(at)] + [len(out) - len(at)] * bool(some)
+
+
+class SpanTable:
+    """Values of spans. ``learn`` gives the values of a batch's new spans; they are remembered, long ones for the batch only, so that
+    the memory is bounded in number and bytes."""
+
+    def __init__(self, learn, most: int = 1_000_000, longest: int = 64):
+        self.learn, self.most, self.longest, self.known = learn, most, longest, {}
+
+    def of(self, texts: list[str] | pa.Array, fold=list) -> list:
+        """The values of each text's spans, folded. A null text is empty."""
+        collected = gc.isenabled()
+        gc.disable()  # nothing here has cycles, and a collection walks all that is remembered
+        try:
+            return self._of(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, fold)
+        finally:
+            if collected:
+                gc.enable()
+
+    def _values(self, some: list[str]) -> list:
+        """Values of distinct spans."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        known = self.known
+        out = list(map(known.get, some))
+        at = [i for i, v in enumerate(out) if v is None]
+        new = [some[i] for i in at]
+        if new:
+            values = self.learn(new)
+            known.update((x, v) for x, v in zip(new, values, strict=True) if len(x) <= self.longest)
+            for i, v in zip(at, values, strict=True):
+                out[i] = v
+        return out
+
+    def _of(self, texts: pa.Array, fold) -> list:
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = texts.fill_null("")
+        raw = texts.buffers()[2]
+        if raw is not None and (np.frombuffer(raw, dtype=np.uint8) - 0x1C < 4).any():  # white space to Arrow, not to the library
+            split = pa.array([spans(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            split = pc.utf8_split_whitespace(texts)
+        full = pc.not_equal(split.values, "").to_numpy(zero_copy_only=False)  # white space at an end makes an empty span
+        ends = np.r_[0, np.cumsum(full)][split.offsets.to_numpy()].tolist()
+        coded = split.values.filter(pa.array(full, pa.bool_())).dictionary_encode()
+        values = self._values(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        return [fold(map(values.__getitem__, at[a:b].tolist())) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 

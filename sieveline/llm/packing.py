@@ -1,8 +1,8 @@
 """Sum-of-squares packing of tokenized documents into sequences of bounded length.
 
 A document is its token ids and a closing id 0. Documents over the capacity are cut into full pieces and a rest. The
-pieces are dealt over shards by hash (their number follows the number of pieces, so a shard is a bounded group), and each
-shard is packed for itself: with N(g) open sequences that have g places left, a piece goes where the sum of N(g)^2 over
+pieces are dealt over shards by a hash of their places in a saved table (not of what they hold: equal rows spread too; the
+number of shards follows that of the pieces, so a shard is a bounded group), and each shard is packed for itself: with N(g) open sequences that have g places left, a piece goes where the sum of N(g)^2 over
 all g becomes smallest, the fullest sequence on ties; full sequences don't count. A shard is packed in two orders,
 hashed and by falling length, and the packing with fewer sequences is kept.
 
@@ -11,47 +11,60 @@ Null and empty texts are the closing id alone. Repeated rows are packed for them
 
 from __future__ import annotations
 
-import os
 import zlib
-from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clip_words import default_path, pieces
+from .clip_words import SpanTable, default_path
 from .common import Scratch, prepare, texts
+from .token_counts import merger
 
 CAPACITY = 2048
 #: Pieces of a shard, about. A shard wastes some part of a few sequences; it takes a second or two.
 SHARD = 32_768
-REMEMBERED = 500_000
+
+
+class IdTable:
+    """Token ids of spans as little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, path: str):
+        self.merger, self.table = merger(path), SpanTable(self.learn)
+
+    def learn(self, some: list[str]) -> list[bytes]:
+        ids, upto = self.merger.encode_spans(some)
+        data, ends = ids.astype("<u4").tobytes(), (4 * upto).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def of(self, batch: list[str] | pa.Array) -> list[bytes]:
+        return self.table.of(batch, b"".join)
+
+
+@lru_cache(maxsize=1)
+def id_table(path: str) -> IdTable:
+    """One for each worker, so that its tasks share what they remember."""
+    return IdTable(path)
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32. Words are looked up; the library encodes those that are new."""
+    """doc_id, piece, start, length, ids_crc32. Ids are those of the tokenizers library; equal spans are merged once."""
     prepare(docs.sparkSession)
     path = path or default_path()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        library, known = Tokenizer.from_file(path), {}
-        width = 4 * capacity
+        table, width = id_table(path), 4 * capacity
         for b in batches:
-            if len(known) > REMEMBERED:
-                known.clear()
-            split = [pieces(t) for t in b.column("text").to_pylist()]
-            new = list({w for ws in split for w in ws if w not in known})
-            for w, e in zip(new, library.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes() if _little else np.array(e.ids, dtype="<u4").tobytes()
             rows = []
-            for doc, ws in zip(b.column("doc_id").to_pylist(), split, strict=True):
-                ids = b"".join([*map(known.__getitem__, ws), b"\0\0\0\0"])
-                rows += [(doc, k, k * capacity, len(part) // 4, zlib.crc32(part)) for k in range(-(-len(ids) // width)) for part in (ids[k * width : (k + 1) * width],)]
+            for doc, ids in zip(b.column("doc_id").to_pylist(), table.of(b.column("text")), strict=True):
+                ids += b"\0\0\0\0"
+                if len(ids) <= width:
+                    rows.append((doc, 0, 0, len(ids) // 4, zlib.crc32(ids)))
+                else:
+                    rows += [(doc, k, k * capacity, len(part) // 4, zlib.crc32(part)) for k in range(-(-len(ids) // width)) for part in (ids[k * width : (k + 1) * width],)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
@@ -59,9 +72,6 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     return out.withColumn("piece", F.col("piece").cast("int"))
 
 
-_little = array("I", [1]).tobytes() == b"\1\0\0\0"
-
-
 def sum_of_squares(sizes: list[int], capacity: int) -> tuple[list[int], list[int], int]:
     """Bin and offset of each size, in the given order, and the number of bins."""
     count = np.zeros(capacity + 1, dtype=np.int64)  # N(g)
@@ -108,30 +118,30 @@ def pack_shard(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, total: int | None = None) -> DataFrame:
     """``items`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    items is read twice unless ``total``, its number of rows, is given.
+    items is saved with each row's place, and then read twice unless ``total``, its number of rows, is given.
     """
     prepare(items.sparkSession)
-    n = max(1, -(-(items.count() if total is None else total) // shard))
-    keyed = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).cast("long"))
+    placed = items.select("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("place"))
+    saved = Scratch(items.sparkSession, "packing").save(placed, "pieces")
+    n = max(1, -(-(saved.count() if total is None else total) // shard))
+    keyed = saved.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(n)).cast("long"))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.take(pa.compute.sort_indices(t.append_column("h", pa.array(_mixed(t))), sort_keys=[("h", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending"), ("ids_crc32", "ascending")]))
+        t = t.take(np.argsort(_mixed(t.column("place").to_numpy())))
         sizes = t.column("length").to_numpy()
         bins, offsets, _ = pack_shard(sizes, capacity)
         sequence = bins + (t.column("shard")[0].as_py() << 32)
-        return t.drop_columns(["shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
+        return t.drop_columns(["shard", "place"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
     return keyed.groupBy("shard").applyInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def _mixed(t: pa.Table) -> np.ndarray:
-    """A shuffled order that follows from the rows alone."""
-    doc = pa.compute.fill_null(t.column("doc_id"), -1).to_numpy().astype(np.uint64)
-    x = doc * np.uint64(0x9E3779B97F4A7C15) + t.column("piece").to_numpy().astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+def _mixed(place: np.ndarray) -> np.ndarray:
+    """A shuffled order without ties."""
+    x = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """Pieces of ``docs`` with their places. Tokens are counted once, into a table of the shared folder."""
-    items = Scratch(docs.sparkSession, "packing").save(token_pieces(docs, path, capacity), "pieces")
-    return pack(items, capacity, shard)
+    return pack(token_pieces(docs, path, capacity), capacity, shard)

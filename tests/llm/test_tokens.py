@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from sieveline.llm import bpe_automaton, clip_words, token_counts
+from sieveline.llm import bpe_automaton, clip_words, packing, token_counts
 
 PATH = clip_words.default_path()
 
@@ -21,10 +22,10 @@ def auto():
 
 def samples() -> list[str]:
     rng = random.Random(7)
-    near = "ab'sthe1 <|>é \n\t²ßİΣÀ̀"
+    near = "ab'sthe1 <|>é \n\t\x1d²ßİΣÀ̀"
     far = near + "中文字あア한Ω٣ 　😀"
     made = ["".join(rng.choice(a) for _ in range(rng.randint(0, 50))) for a in (near, far) for _ in range(1500)]
-    return made + ["", " ", "aaaaaaaa" * 50, "'''s't''re", "a<|endoftext|>b <|startoftext|>", "<|endoftext", "ΑΣ ΣΑΣ", "x" * 5000]
+    return made + ["", " ", "aaaaaaaa" * 50, "'''s't''re", "a<|endoftext|>b <|startoftext|>", "<|endoftext", "a\x1cb \x1f", "\x01 a\x01b \x01\x01", "ΑΣ ΣΑΣ", "x" * 5000]
 
 
 def test_every_code_point(library):
@@ -33,17 +34,20 @@ def test_every_code_point(library):
     coder = bpe_automaton.Coder(PATH)
     for i in range(0, len(some), 100_000):
         part = some[i : i + 100_000]
-        for t, e in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True):
-            assert coder.code(t)[0] == " ".join(map(str, e.ids)), hex(codes[some.index(t)])
+        for t, (ids, _), e in zip(part, coder.code(part), library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert ids == " ".join(map(str, e.ids)), hex(codes[some.index(t)])
 
 
 def test_rank_merging_and_automaton_equal_the_library(library, auto):
     counter = token_counts.Counter(PATH)
     texts = samples()
     counts = counter.count(texts)
+    ids, coded = packing.IdTable(PATH).of(texts), bpe_automaton.Coder(PATH).code(texts)
     for t, n, e in zip(texts, counts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert n == len(e.ids), t
+        assert np.frombuffer(ids[texts.index(t)], dtype="<u4").tolist() == e.ids, t
         assert auto.encode(t) == e.ids, t
+        assert coded[texts.index(t)] == (" ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False)), t
         assert auto.decode(e.ids) == library.decode(e.ids, skip_special_tokens=False)
 
 
@@ -67,7 +71,7 @@ def test_gadget_order_decides(tmp_path):
         w = "".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))
         ids = lib.encode(w, add_special_tokens=False).ids
         assert own.encode_word(w) == ids, w
-        assert merger.merge([w]).tolist() == [len(ids)], w
+        assert merger.tokens([w])[0].tolist() == ids, w
 
 
 def test_documents(spark, library):
