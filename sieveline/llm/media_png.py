@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import prepare, texts
 
@@ -86,17 +87,20 @@ def _unfilter(lines: np.ndarray, kind: np.ndarray) -> np.ndarray:
         elif k == 2:
             out[a:b] = np.cumsum(np.vstack([above, lines[a:b]]), axis=0, dtype=np.uint8)[1:]
         elif k in (3, 4):
-            for r in range(a, b):
-                row, prior, x = lines[r].tolist(), above.tolist(), 0
-                for c in range(w):
-                    up, corner = prior[c], prior[c - 1] if c else 0
-                    if k == 3:
-                        guess = (x + up) // 2
-                    else:
-                        p = x + up - corner
-                        guess = min((abs(p - x), 0, x), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-                    x = row[c] = (row[c] + guess) & 255
-                above = out[r] = np.array(row, dtype=np.uint8)
+            # a sample needs those to its left, above and between: all samples of one diagonal go at once
+            done = np.zeros((b - a + 1, w + 1), dtype=np.int64)
+            done[0, 1:] = above
+            for step in range(b - a + w - 1):
+                r = np.arange(max(0, step - w + 1), min(b - a, step + 1))
+                c = step - r
+                left, up, corner = done[r + 1, c], done[r, c + 1], done[r, c]
+                if k == 3:
+                    guess = (left + up) // 2
+                else:
+                    to_left, to_up, to_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+                    guess = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+                done[r + 1, c + 1] = (lines[a + r, c] + guess) & 255
+            out[a:b] = done[1:, 1:]
         else:
             raise ValueError(f"row filter {k}")
     return out
@@ -145,24 +149,39 @@ def cosine_hash(samples: np.ndarray) -> str:
     return np.packbits(low > np.median(low[1:])).tobytes().hex()
 
 
-def text_images(docs: DataFrame, keep: bool = True) -> DataFrame:
-    """doc_id, sizes and digests of payload and stored form, feature and, if ``keep``, the binary column media."""
+def text_images(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and the binary column media of each row's text."""
     prepare(docs.sparkSession)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * keep
 
-    def one(text: str) -> tuple:
-        data = payload(text)
-        media = encode_png(np.frombuffer(data, dtype=np.uint8).reshape(-1, WIDTH))
+    def run(batches):
+        for b in batches:
+            t = b.column("text").to_pylist()
+            media = [encode_png(np.frombuffer(payload(x), dtype=np.uint8).reshape(-1, WIDTH)) for x in t]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    sized = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    return sized.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def image_features(images: DataFrame) -> DataFrame:
+    """Sizes and digests of payload and stored form, and the feature, read back from the stored bytes (doc_id, n_bytes, media).
+
+    A null image has null figures.
+    """
+    prepare(images.sparkSession)
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+
+    def one(media: bytes | None) -> tuple:
+        if media is None:
+            return (None,) * len(kinds)
         image = decode_png(media)
         back = image.tobytes()
-        return (len(text.encode("utf-8")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(image), media)[: 7 + keep]
-
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(image)
 
     def run(batches):
         for b in batches:
-            cols = list(zip(*map(one, b.column("text").to_pylist()), strict=True)) or [()] * (7 + keep)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names)
+            cols = list(zip(*map(one, b.column("media").to_pylist()), strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True))], ["doc_id", "n_bytes", *kinds])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep
-    return texts(docs).mapInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return images.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

@@ -11,7 +11,7 @@ def op5(spark, sf_dir):
 
 
 def op6(spark, sf_dir):
-    return media_png.text_images(table(spark, sf_dir, "documents"), keep=False)
+    return media_png.image_features(media_png.text_images(table(spark, sf_dir, "documents")))
 
 
 def op7(spark, sf_dir):

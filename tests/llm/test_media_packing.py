@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sieveline.llm import clip_words, media_png, packing
@@ -55,15 +56,19 @@ def test_hash_is_stable_under_small_changes():
 def test_images_of_texts(spark):
     rows = [(1, "abc", 0), (2, None, 0), (3, "", 0), (4, "é" * 100_000, 0), (4, "é" * 100_000, 1), (None, "x" * 576, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, media int")
-    got = media_png.text_images(df).collect()
+    images = media_png.text_images(df)
+    got = media_png.image_features(images).collect()
+    media = {r.doc_id: bytes(r.media) for r in images.collect()}
     assert len(got) == len(rows)
     for r in got:
         data = (next(t for i, t, _ in rows if i == r.doc_id) or "").encode()
         full = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(full), hashlib.sha256(full).hexdigest())
-        assert r.tail_crc32 == zlib.crc32(full[-32:]) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
-        assert media_png.decode_png(bytes(r.media)).tobytes() == full
-    assert media_png.text_images(df.where("false"), keep=False).count() == 0
+        assert r.tail_crc32 == zlib.crc32(full[-32:]) and r.media_sha256 == hashlib.sha256(media[r.doc_id]).hexdigest() and r.media_bytes == len(media[r.doc_id])
+        assert media_png.decode_png(media[r.doc_id]).tobytes() == full
+    assert media_png.image_features(media_png.text_images(df.where("false"))).count() == 0
+    nothing = images.selectExpr("doc_id", "n_bytes", "cast(null as binary) as media", "'x' as feature")
+    assert {r.feature for r in media_png.image_features(nothing).collect()} == {None}
 
 
 def test_sum_of_squares_is_greedy_on_the_stated_sum():
@@ -110,3 +115,10 @@ def test_packing_documents(spark):
     total = sum(r.length for r in out)
     assert len(places) <= 1.1 * total / 2048 + 5
     assert packing.pack_documents(df.where("false")).count() == 0
+
+
+def test_equal_rows_spread_over_shards(spark):
+    docs = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "'same words' as text")
+    out = packing.pack_documents(docs, shard=10_000)
+    sizes = [r["count"] for r in out.groupBy(F.shiftright("sequence_id", 32).alias("shard")).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 11_000 and sum(sizes) == 100_000
