@@ -1,8 +1,9 @@
 """Chat formatting; DataFrame and SQL functions only.
 
 Records come in many layouts. A layout's fingerprint is the SHA-256 of its sorted nested field paths; ``LAYOUTS`` maps
-fingerprints to declarative mappings that give canonical turns, an array of (role, text). Tables with typed columns are
-fingerprinted once by their schema, JSON records row by row by the schema of their variant value.
+fingerprints to declarative mappings that give canonical turns, an array of (role, text); a layout with further fields takes the
+mapping whose paths it contains. Tables with typed columns are fingerprinted once by their schema, JSON records row by row by the
+schema of their variant value, at any depth. Records that no mapping fits keep null turns, and so null outputs, through the template.
 
 The template writes ``<s>``, then for each turn ``<|im_start|>role<|im_sep|>text<|im_end|>``, then ``</s>``. Roles and texts
 are escaped: after the first sign of anything that reads as a control string (of this template or the common ones) one
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 START, SEP, END, BOS, EOS = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<s>", "</s>"
 ESC = "\x1b"
 #: Control strings of this template and of the common ones, after their first sign.
@@ -80,40 +83,58 @@ MAPPINGS: dict[str, dict] = {
 LAYOUTS = {fingerprint(m["paths"]): name for name, m in MAPPINGS.items()}
 
 
+def json_paths(value: Column) -> Column:
+    """The sorted field paths of a variant, at any depth: its schema string is read token by token, with a stack of open objects and
+    arrays. Empty objects have no path; an array's is marked as in ``paths``. Null for a null variant."""
+    tokens = F.regexp_extract_all(F.schema_of_variant(value), F.lit(r"`(?:[^`]|``)*`: |[^<>,: ]+: |OBJECT<|ARRAY<|>|[A-Z_]+(?:\([0-9,]+\))?"), F.lit(0))
+    texts_ = "array<string>"
+    start = F.struct(F.array(F.lit("")).alias("stack"), F.lit("").alias("name"), F.array().cast(texts_).alias("paths"))
+
+    def read(state: Column, token: Column) -> Column:
+        top = F.element_at(state["stack"], -1)
+        here = F.when(state["name"] == "", top).when(top == "", state["name"]).otherwise(F.concat(top, F.lit("."), state["name"]))
+        bare = F.substr(token, F.lit(1), F.length(token) - 2)
+        name = F.when(bare.startswith("`"), F.replace(F.substr(bare, F.lit(2), F.length(bare) - 2), F.lit("``"), F.lit("`"))).otherwise(bare)
+        named, opens, closes = token.endswith(": "), token.isin("OBJECT<", "ARRAY<"), token == ">"
+        inner = F.when(token == "ARRAY<", F.concat(here, F.lit("[]"))).otherwise(here)
+        stack = F.when(opens, F.concat(state["stack"], F.array(inner))).when(closes, F.slice(state["stack"], F.lit(1), F.size(state["stack"]) - 1)).otherwise(state["stack"])
+        found = F.when(named | opens | closes, state["paths"]).otherwise(F.concat(state["paths"], F.array(here)))
+        return F.struct(stack.alias("stack"), F.when(named, name).otherwise("").alias("name"), found.alias("paths"))
+
+    return F.aggregate(tokens, start, read, lambda s: F.array_sort(s["paths"]))
+
+
 def json_fingerprint(value: Column) -> Column:
-    """The fingerprint of a variant: field paths are read off its schema string by rewriting it, level by level."""
-    s = F.schema_of_variant(value)
-    for _ in range(4):  # OBJECT<a: ARRAY<OBJECT<b: T, c: T>>> -> a[].b, a[].c
-        s = F.regexp_replace(s, r"(\w+): ARRAY<(?:OBJECT<(\w+): (?:[A-Z0-9(),]+)(?:, (\w+): (?:[A-Z0-9(),]+))?>)>", "$1[].$2: T, $1[].$3: T")
-    names = F.filter(F.transform(F.split(F.regexp_replace(s, r"^OBJECT<|>$", ""), ", "), lambda x: F.substring_index(x, ": ", 1)), lambda x: ~x.endswith("."))
-    return F.sha2(F.array_join(F.array_sort(names), "\n"), 256)
+    return F.sha2(F.array_join(json_paths(value), "\n"), 256)
 
 
-def _leaf(value: Column) -> Column:
-    return ~F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)<"), F.lit(False))
+def _has(own: Column, path: str) -> Column:
+    """Whether a record has a path, or further ones below it (a text may be an object with a text, or a list of such parts)."""
+    return F.exists(own, lambda p: (p == path) | (p == path + ".text") | (p == path + "[].text"))
 
 
-def has_paths(value: Column, name: str) -> Column:
-    """Whether a variant record has the paths of a mapping, whatever others it has."""
+def fits(own: Column, name: str) -> Column:
+    """Whether a record's paths hold those of a mapping, whatever others there are. An empty list of turns fits too."""
     m = MAPPINGS[name]
-    if "list" in m:
-        field, role, text, _ = m["list"]
-        each = F.try_variant_get(value, f"$.{field}", "array<map<string,variant>>")
-        known = lambda f: F.exists(each, lambda x: F.map_contains_key(x, f)) & F.forall(each, lambda x: _leaf(F.element_at(x, F.lit(f))))
-        fits = known(role) & known(text)
-    else:
-        top = F.try_variant_get(value, "$", "map<string,variant>")
-        fits = F.lit(True)
-        for f in m["paths"]:
-            fits = fits & F.map_contains_key(top, f) & _leaf(F.element_at(top, F.lit(f)))
-    return F.coalesce(fits, F.lit(False))
-
-
-def widest(value: Column) -> Column:
+    every = F.lit(True)
+    for p in m["paths"]:
+        every = every & (_has(own, p) if "list" in m else F.array_contains(own, p))
+    return every | F.array_contains(own, f"{m['list'][0]}[]") if "list" in m else every
+
+
+def widest(own: Column) -> Column:
     """The mapping with the most paths of those whose paths a record has; null if several have equally many."""
-    fitting = F.filter(F.array(*[F.when(has_paths(value, name), F.struct(F.lit(len(m["paths"])).alias("n"), F.lit(name).alias("name"))) for name, m in MAPPINGS.items()]), lambda x: x.isNotNull())
+    fitting = F.filter(F.array(*[F.when(fits(own, name), F.struct(F.lit(len(m["paths"])).alias("n"), F.lit(name).alias("name"))) for name, m in MAPPINGS.items()]), lambda x: x.isNotNull())
     most = F.filter(fitting, lambda x: x["n"] == F.array_max(fitting)["n"])
-    return F.when(F.size(most) == 1, F.get(most, 0)["name"])
+    return F.when(F.size(most) == 1, F.get(most, F.lit(0))["name"])
+
+
+def _text(item: Column, field: str) -> Column:
+    """A turn's text: a plain value, an object's text, or the texts of a list of parts, two line ends between them."""
+    plain = F.try_variant_get(item, f"$.{field}", "variant")
+    parts = F.transform(F.try_variant_get(item, f"$.{field}", "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))
+    kind = F.schema_of_variant(plain)
+    return F.when(kind.startswith("OBJECT<"), F.try_variant_get(item, f"$.{field}.text", "string")).when(kind.startswith("ARRAY<"), F.array_join(parts, "\n\n")).otherwise(F.try_variant_get(item, f"$.{field}", "string"))
 
 
 def turns_of(value: Column, name: str) -> Column:
@@ -121,13 +142,13 @@ def turns_of(value: Column, name: str) -> Column:
     m = MAPPINGS[name]
     if "list" in m:
         field, role, text, names = m["list"]
-        rows = F.try_variant_get(value, f"$.{field}", f"array<struct<{role} string, {text} string>>")
+        rows = F.try_variant_get(value, f"$.{field}", "array<variant>")
 
         def turn(x: Column) -> Column:
-            who = x[role]
+            who = given = F.try_variant_get(x, f"$.{role}", "string")
             for a, b in names.items():
-                who = F.when(x[role] == a, b).otherwise(who)
-            return _turn(who, x[text])
+                who = F.when(given == a, b).otherwise(who)
+            return _turn(who, _text(x, text))
 
         return F.transform(rows, turn)
     made = []
@@ -141,17 +162,18 @@ def canonical_json(records: DataFrame, column: str = "record") -> DataFrame:
     """``records`` with ``layout`` (null if no mapping fits or the JSON is broken) and ``turns`` (null likewise).
 
     A record without a known fingerprint takes the mapping with the most paths of those whose paths it has; its further fields, of
-    the record or of the turns, don't belong to the layout. If several have equally many, none is taken.
+    the record or of the turns, don't belong to the layout. If several have equally many, none is taken. A turn that lacks
+    a field has it empty. Columns of ``records`` that are called layout or turns are replaced.
     """
-    v = F.try_parse_json(F.col(column))
-    with_print = records.withColumn("__v", v).withColumn("__f", json_fingerprint(F.col("__v")))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for print_, name in LAYOUTS.items():
-        layout = F.when(F.col("__f") == print_, name).otherwise(layout)
-    with_layout = with_print.withColumn("layout", layout).withColumn("layout", F.when(F.col("layout").isNull(), widest(F.col("__v"))).otherwise(F.col("layout")))
+    v, p = unused(records, "variant_value"), unused(records, "field_paths")
+    known = records.withColumn(v, F.try_parse_json(F.col(column))).withColumn(p, json_paths(F.col(v)))
+    by_print = F.create_map(*[F.lit(x) for pair in LAYOUTS.items() for x in pair])
+    layout = F.coalesce(F.try_element_at(by_print, F.sha2(F.array_join(F.col(p), "\n"), 256)), widest(F.col(p)))
+    with_layout = known.withColumn("layout", layout)
+    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     for name in MAPPINGS:
-        turns = F.when(F.col("layout") == name, turns_of(F.col("__v"), name)).otherwise(turns)
-    return with_layout.withColumn("turns", turns).drop("__v", "__f")
+        turns = F.when(F.col("layout") == name, turns_of(F.col(v), name)).otherwise(turns)
+    return with_layout.withColumn("turns", turns).drop(v, p)
 
 
 #: Typed turn tables: field names of key, order, role and text, by fingerprint.
@@ -177,14 +199,15 @@ def render(canonical: DataFrame) -> DataFrame:
     """Adds segments, loss and formatted to rows with turns."""
     escaped = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")))
     head = lambda t: F.concat(F.lit(START), t["role"], F.lit(SEP))
-    inner = F.flatten(F.transform("__e", lambda t: F.array(head(t), t["text"], F.lit(END))))
-    masks = F.flatten(F.transform("__e", lambda t: F.array(F.lit(False), t["loss"], F.lit(False))))
+    e = unused(canonical, "escaped")
+    inner = F.flatten(F.transform(e, lambda t: F.array(head(t), t["text"], F.lit(END))))
+    masks = F.flatten(F.transform(e, lambda t: F.array(F.lit(False), t["loss"], F.lit(False))))
     return (
-        canonical.withColumn("__e", escaped)
+        canonical.withColumn(e, escaped)
         .withColumn("segments", F.concat(F.array(F.lit(BOS)), inner, F.array(F.lit(EOS))))
         .withColumn("loss", F.concat(F.array(F.lit(False)), masks, F.array(F.lit(False))))
         .withColumn("formatted", F.array_join("segments", ""))
-        .drop("__e", "turns")
+        .drop(e, "turns")
     )
 
 

@@ -39,17 +39,27 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it if the table has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables of one run in the cluster's shared folder; they survive the loss of executors.
 
-    The folder is ``spark.checkpoint.dir``; only a session without that setting gets one of its own.
-    ``drop`` removes what later steps of the run no longer read.
+    The folder is ``spark.checkpoint.dir``. Without that setting a session whose driver and executors are one process (as in tests)
+    gets a folder of its own; on a cluster that would be another folder on each machine, so there it is an error.
+    ``drop`` removes what later steps of the run no longer read; what a returned DataFrame reads stays in the folder.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
             base = tempfile.mkdtemp(prefix="sieveline-checkpoint-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/sieveline/{what}-{uuid.uuid4().hex}"

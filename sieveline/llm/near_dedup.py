@@ -15,7 +15,7 @@ doc_id that links reach from it.
   compared with one hub, the smallest, and what verification links is joined into classes. Where a hub's members still are in
   several classes, they are compared with one center of the largest of these classes, and meet again where their differences from it
   agree: exact prefix filters over the differences' rarest elements (``difference_keys``), so that members which are linked share a key.
-  Keys that hold several classes go on, with 1, 16, 256, 512, ... hubs taken out of a key per round, until each has been compared with
+  Keys that hold several classes go on, with 16, 512, 16384, ... hubs taken out of a key per round, until each has been compared with
   all members of other classes. Pairs are left out only if they share a class already or if the sizes of sets or differences,
   the places of the shared element in them or parity bits of their elements forbid a link; none of these can change the result.
 * From the full sets on, all steps are joins and aggregates on ids and arrays of fingerprints; a frequent hub's side can be split.
@@ -35,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare, table, texts
+from .common import Scratch, prepare, table, texts, unused
 
 BANDS, ROWS = 48, 8
 PARITY = ("s0", "s1", "s2", "s3")
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def words(text: str) -> list[bytes]:
@@ -218,7 +218,7 @@ def difference_keys(rare: DataFrame, percent: int) -> DataFrame:
     element and the levels of both members, so that elements that many members share are mostly out of reach.
     """
     up, down = 100 + percent, 100 - percent
-    width = F.greatest(F.lit(1), F.floor(down * F.col("nb") / (3 * up)))
+    width = F.greatest(F.lit(1), F.floor(down * F.col("nb") / up))
     reach = F.floor(down * F.col("n") / percent)
     own = rare.withColumns({"width": width, "level": F.floor(F.col("d") / width), "before": F.col("d") - F.size("rare")})
     levels = own.withColumn("other", F.explode(F.sequence(F.floor(F.greatest(F.lit(1), F.col("d") - reach) / F.col("width")), F.floor((F.col("d") + reach) / F.col("width")))))
@@ -245,10 +245,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     hubs = scratch.save(banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub"), "hubs-0")
     pairs = scratch.save(banded.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs-0")
 
-    met = scratch.save(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "met")
-    texts_of = reps.join(met, "node").select("seq", "rep", "node")
-    need = texts(docs).join(texts_of.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = full_sets(need, n).join(texts_of.select("seq", "node"), "seq").dropDuplicates(["node"])
+    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    met = scratch.save(reps.join(met, "node").select("seq", "rep", "node"), "met")  # a saved table's size is known before a join
+    need = texts(docs).join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = full_sets(need, n).join(met.select("seq", "node"), "seq").dropDuplicates(["node"])
     sets = scratch.save(sets.select("node", "n", "elements"), "sets")
     scratch.drop("representatives", "hubs-0", "met")
 
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     rare = differences(scratch, compared)
     live = difference_keys(rare, percent)
     scratch.drop("classed", "open", "pairs-0", "pairs-under", "sets")
-    slots, k = 1, 0
+    slots, k = 16, 0
     while True:
         k += 1
         state = scratch.save(classed(live, "a"), f"state-{k}")
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
             links = links.unionByName(new)
             class_of = components(scratch, links, f"classes-{k + 1}")
         live = live.join(hubs.select("b", "key", F.col("ha").alias("a")), ["b", "key", "a"], "left_anti").drop("c")
-        slots = min(slots * 16, 512)
+        slots *= 32
     scratch.drop("differences", f"keys-{k}", f"state-{k}", *(f"hubs-{i}" for i in range(1, k)))
     of_sequence = sequence.join(class_of.select(F.col("id").alias("node"), "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     lowest = of_sequence.join(class_of.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("rep").alias("lowest"))
@@ -317,8 +317,9 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all columns, of one document of each class; rows without a doc_id stay."""
-    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi"))
+    own = unused(docs, "kept_id")
+    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    return docs.where("doc_id is null").unionByName(docs.join(kept, F.col("doc_id").cast("long") == F.col(own), "left_semi"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from sieveline.llm import chat_format, exact_dedup, url_filter
 from sieveline.llm.common import Scratch
 
@@ -22,13 +24,37 @@ def test_exact_dedup(spark):
 
 def test_index_grows_by_new_digests_only(spark):
     index = exact_dedup.DigestIndex(spark, "grown_index", Scratch(spark, "t").path("index"), buckets=4)
-    index.add(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))
-    index.add(spark.createDataFrame([(9, "a"), (3, "c"), (4, "c")], "doc_id long, text string"))
-    got = {(r.keep_id, r.group_size) for r in index.entries().collect()}
-    assert got == {(1, 1), (2, 1), (4, 2)}
-    new = exact_dedup.digests(spark.range(3).selectExpr("id as doc_id", "string(id) as text")).groupBy("digest").count()
-    plan = new.join(spark.table("grown_index").select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    first, second = (spark.createDataFrame(x, "doc_id long, text string") for x in ([(1, "a"), (2, "b")], [(9, "a"), (3, "c"), (4, "c")]))
+    for batch in (first, second, second, first):  # a batch that comes again adds nothing
+        index.add(batch)
+    assert {r.keep_id for r in index.entries().collect()} == {1, 2, 4}
+    marked = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.mark_duplicates(second, index).collect()}
+    assert marked == {(9, 1, 1, False), (3, 4, 2, False), (4, 4, 2, True)}
+    index.remove()
+    assert not spark.catalog.tableExists("grown_index")
+
+
+def test_the_anti_join_reads_the_index_bucket_by_bucket(spark):
+    index = exact_dedup.DigestIndex(spark, "planned_index", Scratch(spark, "t").path("index"))
+    docs = spark.range(1000).selectExpr("id as doc_id", "string(id % 400) as text")
+    index.load(docs)
+    assert {r.keep_id for r in index.entries().collect()} == {i for i in range(1000) if i + 400 > 999}
+    before = [t.name for t in spark.catalog.listTables()]
+    lacking = index.lacking(docs)
+    plan = lacking._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # of the batch
+    assert lacking.count() == 0
+    exact_dedup.mark_duplicates(docs)
+    assert [t.name for t in spark.catalog.listTables()] == before
+    index.remove()
+
+
+def test_batches_of_few_and_extreme_ids(spark):
+    for ids in ([5], [5, 5], [-(2**62), 2**62], [None], []):
+        df = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
+        best = max((i for i in ids if i is not None), default=None)
+        assert {(r.keep_id, r.group_size) for r in exact_dedup.mark_duplicates(df).collect()} == ({(best, len(ids))} if ids else set())
 
 
 def test_url_rules_and_scores(spark):
@@ -106,9 +132,30 @@ def test_layouts_with_further_fields(spark):
         '{"prompt": "a", "completion": "b", "x y": {"b c": 1}}': ("prompt_completion", said),
         '{"messages": [{"role": "user", "content": null, "id": 1}]}': ("messages", [("user", "")]),
         '{"prompt": "a", "completion": "b", "response": "c"}': (None, None),
-        '{"messages": [{"role": "user", "content": [{"text": "a"}], "id": 1}]}': (None, None),
-        '{"messages": [{"meta": {"role": "user", "content": "a"}, "id": 1}]}': (None, None), '{"messages": [], "source": "s"}': (None, None), '{"prompt": {"x": 1}, "completion": "b", "source": "s"}': (None, None),
+        '{"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"text": "b"}], "id": 1}]}': ("messages", [("user", "a\n\nb")]),
+        '{"messages": [{"role": "user", "content": {"text": "a", "lang": "en"}}, {"role": "assistant", "content": "b"}]}': ("messages", said),
+        '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b", "more": {"deep": [[{"x": 1}]]}}]}': ("messages", said),
+        '{"messages": [{"role": "user"}, {"content": "b", "role": "assistant"}]}': ("messages", [("user", ""), ("assistant", "b")]),
+        '{"instruction": "a", "input": "", "output": "b", "id": 7}': ("instruction", said),
+        '{"messages": [{"meta": {"role": "user", "content": "a"}, "id": 1}]}': (None, None), '{"messages": [], "source": "s"}': ("messages", []), '{"messages": []}': ("messages", []), '{"prompt": {"x": 1}, "completion": "b", "source": "s"}': (None, None),
     }
     df = spark.createDataFrame(list(enumerate(records)), "id long, record string")
     got = {r.id: (r.layout, r.turns and [tuple(t) for t in r.turns]) for r in chat_format.canonical_json(df).collect()}
     assert got == dict(enumerate(records.values()))
+
+
+def test_field_paths_of_any_nesting(spark):
+    records = {
+        '{"a": {"b": [{"c": 1, "d e": [[2.5]]}], "f": {}}, "g": [], "h": null}': ["a.b[].c", "a.b[].d e[][]", "g[]", "h"],
+        '{"messages": [{"role": "u", "content": "x"}]}': ["messages[].content", "messages[].role"], "3": [""], "[]": ["[]"], "{}": [], "{broken": None,
+    }
+    df = spark.createDataFrame(list(enumerate(records)), "id long, record string")
+    got = {r.id: r.p for r in df.select("id", chat_format.json_paths(F.try_parse_json("record")).alias("p")).collect()}
+    assert got == dict(enumerate(records.values()))
+
+
+def test_records_without_a_layout_stay_as_nulls(spark):
+    rows = [(1, '{"other": 1}', "x"), (2, '{"messages": []}', "x"), (3, '{"prompt": "a", "completion": "b"}', "x")]
+    made = chat_format.canonical_json(spark.createDataFrame(rows, "conv_id long, record string, layout string"))
+    got = {r.conv_id: (r.n_turns, r.formatted_chars, r.loss_chars) for r in chat_format.digest(chat_format.render(made.select("conv_id", "turns"))).collect()}
+    assert got[1] == (None, None, None) and got[2] == (0, 7, 0) and got[3][0] == 2
