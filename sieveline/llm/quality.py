@@ -2,16 +2,17 @@
 
 A document is a set of hashed n-gram indicators: white-space words, word pairs, the shapes of words (letters, capitals,
 digits and signs in place of the characters), shape pairs, and how often a word repeats the one before it, in tenths. The training sample gives each indicator its class
-log-count ratio; indicators scaled by it, and each document then brought to length one, are fitted by a linear model with squared hinge loss through
+log-count ratio; indicators scaled by it, and each document then brought to length one, are fitted by a linear model with hinge loss through
 dual coordinate descent. The weights are drawn towards their mean size (the usual interpolation). A logistic curve
 fitted on a part of the sample that the model has not seen turns margins into scores between 0 and 1.
 
-Labels are learned from the ``sample`` labelled rows of the training folds with the smallest hashes; that bound is a
-parameter, and what reaches the driver is their hashed indicators. Scoring reads every row and whole text.
+Labels are learned from the ``sample`` labelled rows of the training folds with the smallest hashes, as long as their documents
+have at most ``entries`` indicators together; these bounds are parameters, and what reaches the driver is hashed
+indicators, four bytes each. Scoring reads every row and whole text.
 
 Null and empty texts have no indicators; their score is that of the bias. Without labels of both classes every score
-is 0.5. A label row with a null doc_id or quality is left out, of several labels of one document each counts. A null
-doc_id is scored; it is not held out, as its remainder is unknown. Repeated rows are scored for themselves.
+is 0.5. A label row with a null doc_id or quality is left out; repeated label rows count once, different labels of one document
+count each, and of several texts of a doc_id one is learned from. A null doc_id is scored; it is not held out, as its remainder is unknown. Repeated rows are scored for themselves.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table, texts
+from .common import Scratch, prepare, table, texts, unused
 
 BITS = 18
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 6_000
+#: Indicators of these rows' documents, at most.
+ENTRIES = 16_000_000
 CUT = 0.3
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 _digits, _upper, _lower = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_a-zß-ÿ]+"), re.compile(r"[^\W\d_A-Z]+")
 
@@ -41,35 +44,39 @@ def _shape(word: str) -> str:
     return _lower.sub("a", _upper.sub("A", _digits.sub("9", word)))[:8]
 
 
+class Hashes(dict):
+    """Hashes of a word and its shape; long words are hashed anew each time, so that the memory is bounded in bytes."""
+
+    def __missing__(self, word: str) -> int:
+        found = zlib.crc32(word.encode()) | zlib.crc32(_shape(word).encode(), 7) << 32
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
 class Indicators:
     """Sets of hashed n-gram indicators; word hashes are remembered."""
 
     def __init__(self, bits: int = BITS):
-        self.mask, self.known = np.uint64((1 << bits) - 1), {}
+        self.mask, self.known = np.uint64((1 << bits) - 1), Hashes()
 
     def of(self, text: str) -> np.ndarray:
-        known, words = self.known, text.split()
-        if len(known) > REMEMBERED:
-            known.clear()
-        try:
-            pairs = [known[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = zlib.crc32(w.encode()) | zlib.crc32(_shape(w).encode(), 7) << 32
-            pairs = [known[w] for w in words]
-        if not pairs:
+        words = text.split()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if not words:
             return np.empty(0, dtype=np.int64)
-        both = np.array(pairs, dtype=np.uint64)
+        both = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
         word, shape = both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)
         again = np.array([round(10 * float((word[1:] == word[:-1]).mean())) if len(word) > 1 else 11], dtype=np.uint64)
         mixed = [again, word, word[:-1] * np.uint64(31) + word[1:] * np.uint64(1_000_003), shape, shape[:-1] * np.uint64(37) + shape[1:] * np.uint64(1_000_033)]
-        keys = np.concatenate([(m + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) for k, m in enumerate(mixed)]) >> np.uint64(40)
-        hit = np.zeros(int(self.mask) + 1, dtype=bool) if len(keys) > 20_000 else None
-        if hit is not None:  # very long texts
-            hit[(keys & self.mask).astype(np.int64)] = True
+        keys = (np.concatenate([(m + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) for k, m in enumerate(mixed)]) >> np.uint64(40)) & self.mask
+        if len(keys) > 20_000:  # very long texts
+            hit = np.zeros(int(self.mask) + 1, dtype=bool)
+            hit[keys.astype(np.int64)] = True
             return np.flatnonzero(hit)
-        return np.unique((keys & self.mask).astype(np.int64))
+        keys = np.sort(keys.astype(np.int64))
+        return keys[np.r_[True, keys[1:] != keys[:-1]]]
 
 
 @dataclass
@@ -83,8 +90,13 @@ class Model:
     def margin(self, x: np.ndarray) -> float:
         return float(self.weights[x].sum(dtype=np.float64) / max(np.sqrt(self.scale[x].sum(dtype=np.float64)), 1e-9)) + self.bias if len(x) else self.bias
 
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Scores of a batch of documents."""
+        m = np.fromiter(map(self.margin, rows), dtype=np.float64, count=len(rows))
+        return 1 / (1 + np.exp(-np.clip(self.slope * m + self.shift, -30, 30)))
+
     def score(self, x: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -30, 30))))
+        return float(self.scores([x])[0])
 
 
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
@@ -96,21 +108,23 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndar
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: np.ndarray, rounds: int = 20, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and bias of a squared-hinge linear model; cost per row. The bias is a feature of value 1."""
+    """Weights and bias of a linear model with hinge loss; cost per row. The bias is a feature of value 1.
+
+    Each row's multiplier lies between 0 and its cost, and is moved to the best place there with all others fixed.
+    """
     sign = np.where(y == 1, 1.0, -1.0)
-    diagonal = 1 / (2 * cost)
-    square = np.array([float(v @ v) + 1 for v in values]) + diagonal
+    square = np.array([float(v @ v) + 1 for v in values])
     alpha, w, bias = np.zeros(len(rows)), np.zeros(size), 0.0
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         most = 0.0
         for i in rng.permutation(len(rows)):
             x, v = rows[i], values[i]
-            g = sign[i] * (float(w[x] @ v) + bias) - 1 + diagonal[i] * alpha[i]
-            if alpha[i] == 0 and g >= 0:
+            g = sign[i] * (float(w[x] @ v) + bias) - 1
+            new = min(max(alpha[i] - g / square[i], 0.0), cost[i])
+            if new == alpha[i]:
                 continue
             most = max(most, abs(g))
-            new = max(alpha[i] - g / square[i], 0.0)
             step = (new - alpha[i]) * sign[i]
             w[x] += step * v
             bias += step
@@ -158,11 +172,12 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "utf-8")), F.lit(5))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, entries: int = ENTRIES) -> Model | None:
     """Fits ``labels.quality`` on rows whose crc32(doc_id) mod 5 is not 0."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(remainder(F.col("doc_id")) != 0)
-    chosen = usable.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality").limit(sample)
+    chosen = usable.distinct().orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality").limit(sample)
     found = texts(docs).join(F.broadcast(chosen), "doc_id")  # sample rows at most
 
     def run(batches):
@@ -171,8 +186,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
             x = [of(t).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
 
-    got = found.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary").collect()
-    got.sort(key=lambda r: (r.doc_id, r.quality, r.x))
+    rows = found.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary")
+    one = rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x"))  # a doc_id may come again
+    scratch = Scratch(spark, "quality")
+    saved = scratch.save(one.withColumns({"place": F.xxhash64("doc_id", F.lit(11)), "n": F.length("x") / 4}), "rows")
+    sizes = saved.select("place", "n").orderBy("place").collect()  # sample rows at most
+    total, last = 0.0, None
+    for r in sizes:
+        total += r.n
+        if total > entries:
+            break
+        last = r.place
+    got = [] if last is None else saved.where(F.col("place") <= last).select("doc_id", "quality", "x").collect()
+    scratch.drop("rows")
+    got.sort(key=lambda r: (r.doc_id, r.quality))
     if not got:
         return None
     folds = np.array([zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in got])
@@ -186,13 +213,14 @@ def score(docs: DataFrame, model: Model | None, bits: int = BITS, keep: tuple[st
     if model is None:
         return docs.select("doc_id", *keep, F.lit(0.5).alias("score"))
     shared = spark.sparkContext.broadcast(model)  # 2 floats for each of 2 ** bits indicators
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.coalesce("text", F.lit("")).alias("__text"))
-    schema = source.drop("__text").withColumn("score", F.lit(0.5)).schema
+    whole = unused(docs, "whole_text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.coalesce("text", F.lit("")).alias(whole))
+    schema = source.drop(whole).withColumn("score", F.lit(0.5)).schema
 
     def run(batches):
         of, m = Indicators(bits).of, shared.value
         for b in batches:
-            s = pa.array([m.score(of(t)) for t in b.column("__text").to_pylist()], pa.float64())
+            s = pa.array(m.scores([of(t) for t in b.column(whole).to_pylist()]), pa.float64())
             cols = [b.column(c) for c in ("doc_id", *keep)]
             yield pa.RecordBatch.from_arrays([*cols, s], ["doc_id", *keep, "score"])
 
@@ -210,7 +238,7 @@ def keep(docs: DataFrame, model: Model | None, cut: float = CUT, bits: int = BIT
     def run(batches):
         of, m = Indicators(bits).of, shared.value
         for b in batches:
-            yield b.filter(pa.array([m.score(of(t or "")) >= cut for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(m.scores([of(t or "") for t in b.column(at).to_pylist()]) >= cut, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -13,18 +13,30 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test ta
 
 
 def test_coordinate_descent_reaches_the_optimum():
-    """Against plain gradient descent on the primal."""
+    """No primal value that subgradient descent finds is lower."""
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 5))
     y = (x[:, 0] + 0.5 * rng.normal(size=60) > 0).astype(int)
     rows, cost = [np.arange(5)] * 60, np.full(60, 0.7)
     w, b = quality.dual_coordinate_descent(rows, list(x), y, 5, cost, rounds=3000)
-    v, sign = np.zeros(6), np.where(y == 1, 1, -1)
-    full = np.c_[x, np.ones(60)]
-    for _ in range(40_000):
-        loss = np.maximum(0, 1 - sign * (full @ v))
-        v -= 0.002 * (v - 2 * 0.7 * (full * (sign * loss)[:, None]).sum(axis=0))
-    assert np.allclose(np.r_[w, b], v, atol=0.02)
+    sign, full = np.where(y == 1, 1, -1), np.c_[x, np.ones(60)]
+    value = lambda v: v @ v / 2 + 0.7 * np.maximum(0, 1 - sign * (full @ v)).sum()
+    v, best = np.zeros(6), np.inf
+    for k in range(40_000):
+        v -= 1 / (k + 20) * (v - 0.7 * (full * (sign * (sign * (full @ v) < 1))[:, None]).sum(axis=0))
+        best = min(best, value(v))
+    assert value(np.r_[w, b]) <= best * 1.001
+
+
+def test_training_rows_are_bounded(spark):
+    """Repeated rows and labels of a document count once; documents beyond the bound on indicators are not learned from."""
+    rows = [(1, "good words here", 0)] * 500 + [(i, ("good words " if i % 2 else "b@d# j&nk ") * 3, 0) for i in range(2, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)] + [(1, 1)] * 50, "doc_id long, quality int")
+    once = spark.createDataFrame(sorted(set(rows)), "doc_id long, text string, score int")
+    a, b = quality.train(docs, labels), quality.train(once, labels.distinct())
+    assert (a.weights == b.weights).all() and a.shift == b.shift
+    assert quality.train(docs, labels, entries=3) is None
 
 
 def test_held_out_quality(spark):
