@@ -12,31 +12,66 @@ from pyspark.sql import types as T
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
+_ASCII = r"^\p{ASCII}*$"
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfkc(s: Column) -> Column:
+    """NFKC; ASCII text has that form, so only other text goes to Python."""
+    ascii_ = s.rlike(_ASCII)
+    return F.when(ascii_, s).otherwise(_nfkc(F.when(~ascii_, s)))
+
+
 @F.pandas_udf(T.StringType())
 def format_number(v: pd.Series) -> pd.Series:
     """0 is "0"; from 1 on six significant digits, below it eight, trailing zeros stripped."""
     return v.map(lambda x: None if pd.isna(x) else "0" if x == 0 else f"{x:.6g}" if abs(x) >= 1 else f"{x:.8g}")
 
 
-def _indexed(s: str | None) -> dict:
-    norm, idx = [], []
-    for i, ch in enumerate(s or ""):
-        for c in unicodedata.normalize("NFKC", ch).lower():
-            if not c.isspace() and c not in ",，":
-                norm.append(c)
-                idx.append(i)
-    return {"norm": "".join(norm), "idx": idx}
+class _Signs(dict):
+    """Code point -> what it counts as in matching: NFKC of the sign alone, lower case, nothing for blanks and commas."""
+
+    def __missing__(self, code: int) -> str:
+        made = self[code] = "".join(c for c in unicodedata.normalize("NFKC", chr(code)).lower() if not c.isspace() and c not in ",，")
+        return made
+
 
+_signs = _Signs()
 
-@F.pandas_udf(T.StructType([T.StructField("norm", T.StringType()), T.StructField("idx", T.ArrayType(T.IntegerType()))]))
-def normalise_indexed(s: pd.Series) -> pd.DataFrame:
-    """Per-character NFKC, lower case, without blanks and commas, and each sign's place in the source (from 0)."""
-    return pd.DataFrame([_indexed(x) for x in s], columns=["norm", "idx"])
+
+@F.pandas_udf(T.StringType())
+def _match_form(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else x.translate(_signs))
+
+
+def match_form(s: Column) -> Column:
+    """Per-character NFKC, lower case, without blanks and commas: what spellings are looked for in. Null is empty."""
+    s = F.coalesce(s, F.lit(""))
+    ascii_ = s.rlike(_ASCII)
+    return F.when(ascii_, F.lower(F.regexp_replace(s, r"[\s\x1c-\x1f,]+", ""))).otherwise(_match_form(F.when(~ascii_, s)))
+
+
+@F.pandas_udf(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+def source_span(s: pd.Series, at: pd.Series, length: pd.Series) -> pd.DataFrame:
+    """First and last place (from 0) in the source of ``length`` signs from place ``at`` (from 1) of its match form; null for null."""
+    out = []
+    for text, start, n in zip(s, at, length, strict=True):
+        if text is None:
+            out.append((None, None))
+            continue
+        upto, begin, last = 0, None, int(start) - 1 + int(n)
+        for i, c in enumerate(text):
+            upto += len(_signs[ord(c)])
+            if begin is None and upto >= start:
+                begin = i
+            if upto >= last:
+                break
+        out.append((begin, i))
+    return pd.DataFrame(out, columns=["begin", "end"]).astype("Int32")
 
 
 def for_match(s: Column, unicode_forms: bool = True) -> Column:
@@ -72,14 +107,14 @@ def number_text(raw: Column, unicode_forms: bool = True) -> Column:
 
 
 def number(raw: Column, unicode_forms: bool = True) -> Column:
-    """Value of the first number; the raw string's units multiply it, a percent sign divides it by 100. Null without one."""
+    """Value of the first number; the raw string's units multiply it, a percent sign of any width divides it by 100. Null without one."""
     v = F.expr("1D") * F.nullif(number_text(raw, unicode_forms), F.lit("")).try_cast("double")
     v = v * F.when(raw.contains("亿"), 1e8).when(raw.contains("万"), 1e4).otherwise(1.0)
-    return F.when(raw.contains("%"), v / 100).otherwise(v)
+    return F.when(for_match(raw, unicode_forms).contains("%"), v / 100).otherwise(v)
 
 
-def unit(raw: Column) -> Column:
-    return F.when(raw.contains("%"), "%").when(raw.contains("亿"), "亿").when(raw.contains("万"), "万").when(raw.contains("元"), "元")
+def unit(raw: Column, unicode_forms: bool = True) -> Column:
+    return F.when(for_match(raw, unicode_forms).contains("%"), "%").when(raw.contains("亿"), "亿").when(raw.contains("万"), "万").when(raw.contains("元"), "元")
 
 
 def variants(raw: Column, unicode_forms: bool = True) -> Column:
@@ -121,12 +156,19 @@ def repaired_json(s: Column) -> Column:
     return F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.nullif(F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.lit(""))), F.try_parse_json(F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))))
 
 
-def label_items(v: Column) -> Column:
-    """A list, or the one under items or results, as array of (index, label, notes) with canonical labels; invalid ones go."""
+def label_items(v: Column, strict: bool = False) -> Column:
+    """A list, or the one under items or results, as array of (index, label, notes) with canonical labels.
+
+    Invalid items go; if ``strict``, one of them, or anything else than a list, is an error.
+    """
     kind = "array<struct<index string, label string, notes string>>"
     rows = F.coalesce(F.try_variant_get(v, "$", kind), F.try_variant_get(v, "$.items", kind), F.try_variant_get(v, "$.results", kind))
-    typed = F.transform(rows, lambda x: F.struct(x["index"].try_cast("int").alias("index"), canonical_label(x["label"]).alias("label"), F.coalesce(x["notes"], F.lit("")).alias("notes")))
-    return F.filter(typed, lambda x: x["index"].isNotNull() & x["label"].isNotNull())
+    typed = F.transform(rows, lambda x: F.struct(F.trim(x["index"]).try_cast("int").alias("index"), canonical_label(x["label"]).alias("label"), F.coalesce(x["notes"], F.lit("")).alias("notes")))
+    valid = F.filter(typed, lambda x: x["index"].isNotNull() & x["label"].isNotNull())
+    if not strict:
+        return valid
+    broken = v.isNotNull() & (typed.isNull() | (F.size(valid) != F.size(typed)))
+    return F.when(broken, F.raise_error(F.lit("not a list of index and label")).cast("array<struct<index:int,label:string,notes:string>>")).otherwise(valid)
 
 
 def batches(items: Column, size: int) -> Column:
@@ -151,6 +193,10 @@ def slug(*parts: Column | str) -> Column:
     return F.translate(F.lower(joined), "/ @", "---")
 
 
-def logit_score(logits: Column, yes_no: bool = False) -> Column:
-    """One logit as it is; two as positive less negative with named labels, else the second; of more the first."""
-    return F.when(F.size(logits) == 1, F.get(logits, F.lit(0))).when(F.size(logits) == 2, F.get(logits, F.lit(1)) - (F.get(logits, F.lit(0)) if yes_no else F.lit(0.0))).otherwise(F.get(logits, F.lit(0)))
+def logit_score(logits: Column, labels: dict[int, str] | None = None) -> Column:
+    """One logit as it is; of two the difference yes - no, or pos - neg, where the labels have such names, else the second; of more the
+    first."""
+    place = {v.lower(): k for k, v in (labels or {}).items()}
+    pair = next(((place[a], place[b]) for a, b in (("yes", "no"), ("pos", "neg")) if a in place and b in place), None)
+    at = lambda i: F.get(logits, F.lit(i))
+    return F.when(F.size(logits) == 2, at(pair[0]) - at(pair[1]) if pair else at(1)).otherwise(at(0))

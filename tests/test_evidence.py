@@ -1,15 +1,24 @@
 """Evidence of matches against brute force."""
 
 import re
+import unicodedata
+
+from pyspark.sql import functions as F
 
 from sieveline.functions import text as X
 from sieveline.operators import matching as M
 from sieveline.plans import queries as Q
 
 
+def indexed(text):
+    """The match form, sign by sign, and each of its signs' place in the source."""
+    made = [(c, i) for i, sign in enumerate(text) for c in unicodedata.normalize("NFKC", sign).lower() if not c.isspace() and c not in ",，"]
+    return {"norm": "".join(c for c, _ in made), "idx": [i for _, i in made]}
+
+
 def span(text, variants):
     """(begin, end) in the source, both included, of the first spelling that the normalised text holds."""
-    n = X._indexed(text)
+    n = indexed(text)
     for v in variants:
         at = n["norm"].find(v)
         if v and at >= 0:
@@ -34,20 +43,20 @@ def test_query_has_evidence_for_every_hit(spark, tmp_path):
     put(docs, "doc_id long, source string, text string", "documents")
     put([(1, said)], "item_id long, text string", "benchmark")
     put([(2, 1234.5)], "p_partkey long, p_retailprice double", "part")
-    got = {r.doc_id: r for r in Q.QUERIES["match_evidence_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r for r in Q.QUERIES["match_evidence"](spark, str(tmp_path)).collect()}
     assert sorted(got) == [d for d, *_ in docs]
     keys = [["alphabetagammadeltax"], ["1234.50元", "1234.50", "1234.5", "0.12345", "1.2345e-05"], ["omega"]]
     for d, _, text in docs:
         at = next((s for k in keys if (s := span(text, k))), None)
         assert got[d].is_match == (at is not None) and got[d].match_type == ("exact" if at else "none")
-        want = around(text, *at) if at else text[:200]
+        want = around(text, *at) + " [unit_inferred=元]" if at else text[:200]
         assert got[d].evidence == want
     assert [got[d].is_match for d in (1, 2, 3, 4, 5)] == [True, True, True, False, False]
 
 
 def brute(text, keys):
     """match_type, matched keys, unit and evidence, key by key; keys: (source, spellings, unit, wants mail)."""
-    if not X._indexed(text)["norm"] or not keys:
+    if not indexed(text)["norm"] or not keys:
         return "none", [], None, ""
     matched, kind, first = [], "none", None
     for source, variants, _, mail in keys:
@@ -70,8 +79,17 @@ def test_mail_context_units_and_keys(spark):
     value = {"电子信箱": "x@y.com", "name": "Acme", "rate": "12.5％"}
     rows = [(q, k, value[s], s) for q, ks in keys.items() for k, (s, *_) in enumerate(ks)]
     out = M.match(hits, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(rows, "query_id long, pos int, value string, source string"))
-    got = {(r.query_id, r.doc_id): (r.match_type, r.matched_keys, r.unit_inferred, r.match_evidence) for r in out.collect()}
+    got = {(r.query_id, r.doc_id): (r.match_type, r.matched_keys, r.unit_inferred, r.evidence) for r in out.collect()}
     assert got == {(q, d): brute(texts.get(d) or "", keys[q]) for q in keys for d in [*texts, 8]}
     assert got[1, 3][:2] == ("exact", ["电子信箱", "name"]) and got[1, 3][3].endswith("[unit_inferred=%]") and "a@b.org" in got[1, 3][3]
-    mined = {r.pos_id: r.match_evidence for r in M.mine(out).where("query_id = 1").collect()}
+    mined = {r.pos_id: r.evidence for r in M.mine(out).where("query_id = 1").collect()}
     assert mined and all(e == got[1, d][3][:300] for d, e in mined.items())
+
+
+def test_match_forms_of_all_kinds_of_text(spark):
+    texts = ["", None, "Plain, ASCII\ttext\x1c here\n", "ｆｕｌｌ，width １２％", "ﬁne  print", "é ñ", "中 文，字", "A" * 50_000 + "é", "\u200a\u3000x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(X.match_form(F.col("t"))).collect()]
+    assert got == [indexed(t or "")["norm"] for t in texts]
+    n = [r[0] for r in df.orderBy("i").select(X.nfkc(F.col("t"))).collect()]
+    assert n == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
