@@ -48,6 +48,44 @@ def degraded(per_query: DataFrame, new: str, old: str, n: int = 10, group: str =
     return both.withColumn("delta", F.round(F.col("ndcg_new") - F.col("ndcg_old"), 6)).orderBy("delta", "query_id").limit(n)
 
 
+def compared(ids: DataFrame, per_query: DataFrame, groups: list[str], group: str = "route") -> DataFrame:
+    """One row for each gold query with mrr, ndcg and precision of each group; null where a group has no results for it."""
+    some = per_query.where(F.col(group).isin(groups)).select("query_id", group, "mrr", "ndcg", "precision")
+    wide = some.groupBy("query_id").pivot(group, groups).agg(*(F.first(m).alias(m) for m in ("mrr", "ndcg", "precision")))
+    return ids.select("query_id").distinct().join(wide, "query_id", "left")
+
+
+def top_hit(hits: DataFrame, group: str = "route") -> DataFrame:
+    """The first hit of each group and query."""
+    return hits.groupBy(group, "query_id").agg(F.min_by("doc_id", F.struct("rank", "doc_id")).alias("top1"))
+
+
+def candidate_texts(candidates: DataFrame, gold: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Candidates (query_id, doc_id, ...) with text: the gold set's, or if that is empty the chunk's, or empty."""
+    g = gold.groupBy("query_id", "doc_id").agg(F.max("text").alias("gold_text"))
+    c = chunks.select("doc_id", F.col("text").alias("chunk_text"))
+    both = candidates.join(g, ["query_id", "doc_id"], "left").join(c, "doc_id", "left")
+    return both.withColumn("text", F.coalesce(F.nullif("gold_text", F.lit("")), "chunk_text", F.lit(""))).drop("gold_text", "chunk_text")
+
+
+def missing_text(candidates: DataFrame) -> DataFrame:
+    """missing_text_count, total_candidates, missing_text_rate of candidates with texts."""
+    n = candidates.agg(F.count_if(F.coalesce("text", F.lit("")) == "").alias("missing_text_count"), F.count(F.lit(1)).alias("total_candidates"))
+    return n.withColumn("missing_text_rate", F.round(F.coalesce(F.try_divide("missing_text_count", "total_candidates"), F.lit(0.0)), 6))
+
+
+def score_percentiles(scores: DataFrame, percents: tuple[int, ...] = (10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
+    """min, max and p* of the column score, exact, by linear interpolation."""
+    s = scores.agg(F.min("score").alias("min"), F.max("score").alias("max"), F.percentile("score", [p / 100 for p in percents]).alias("p"))
+    return s.select(F.round("min", 6).alias("min"), F.round("max", 6).alias("max"), *(F.round(F.col("p")[i], 6).alias(f"p{p}") for i, p in enumerate(percents)))
+
+
+def score_histogram(scores: DataFrame) -> DataFrame:
+    """bin, n: ten bins from 0 to 1, the last one closed; scores outside are left out."""
+    inside = scores.where("score between 0 and 1")
+    return inside.groupBy(F.least(F.floor(F.col("score") * 10), F.lit(9)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:
     """Hits by another score (query_id, doc_id, rerank_score); on ties the earlier rank comes first."""
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.asc("rank"), F.asc("doc_id"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import saved
 from .ranking import ranked, top_k
 
 
@@ -18,14 +21,53 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
-def dense_scores(queries: DataFrame, chunks: DataFrame, scoped: bool = True) -> DataFrame:
-    """query_id, doc_id, score. Both inputs have scope and vector; without scopes the stated queries meet all chunks."""
+def dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of the chunks in each query's scope. Both inputs have scope and vector."""
     q = queries.select("query_id", "scope", F.col("vector").alias("qv"))
-    c = chunks.select("doc_id", "scope", F.col("vector").alias("cv"))
-    both = q.join(c, "scope") if scoped else c.drop("scope").join(q.drop("scope"), F.lit(True))
+    both = q.join(chunks.select("doc_id", "scope", F.col("vector").alias("cv")), "scope")
     return both.select("query_id", "doc_id", F.round(dot(F.col("qv"), F.col("cv")), 6).alias("score"))
 
 
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best of all chunks for each of a stated set of queries.
+
+    The queries go to the tasks in blocks of at most ``block`` vectors, as one matrix each. A task multiplies its batches with the block
+    and keeps k chunks a query, so what is shuffled is k rows for each query and task, whatever the corpus. Vectors of another
+    length than the block's, and null ones, have no score.
+    """
+    spark = chunks.sparkSession
+    ids = queries.select("query_id").where("vector is not null")
+    out = None
+    for part in range(max(1, -(-ids.count() // block))):
+        rows = queries.where("vector is not null").select("query_id", "vector").orderBy("query_id").offset(part * block).limit(block).collect()
+        if not rows:
+            break
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), np.array([r.vector for r in rows], dtype=np.float64)))
+
+        def run(batches, shared=shared):
+            names, matrix = shared.value
+            best_id, best = np.full((len(names), 0), 0, dtype=np.int64), np.empty((len(names), 0))
+            for b in batches:
+                v, i = b.column(1), b.column(0).to_numpy(zero_copy_only=False)
+                lengths = pa.compute.list_value_length(v).fill_null(-1).to_numpy(zero_copy_only=False)
+                fits = np.flatnonzero(lengths == matrix.shape[1])
+                if not len(fits):
+                    continue
+                c = v.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
+                score = np.round(matrix @ c.T, 6)
+                best, best_id = np.hstack([best, score]), np.hstack([best_id, np.broadcast_to(i[fits], score.shape)])
+                order = np.lexsort((best_id, -best), axis=1)[:, :k]
+                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
+            n = best.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best_id.ravel()), pa.array(best.ravel())], ["query_id", "doc_id", "score"])
+
+        some = chunks.select(F.col("doc_id").cast("long"), "vector").mapInArrow(run, "query_id long, doc_id long, score double")
+        out = some if out is None else out.unionByName(some)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, doc_id long, score double")
+    return top_k(out, "query_id", k)
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """scope, doc_id, term, tf of tokenized chunks (scope, doc_id, tokens)."""
     return docs.select("scope", "doc_id", F.explode("tokens").alias("term")).groupBy("scope", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -47,28 +89,54 @@ def idf(tf: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
     return raw.join(mean, "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer=tokens) -> DataFrame:
-    """query_id, doc_id, score for all chunks of each query's scope; chunks without a query term have 0."""
+def bm25_found(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer=tokens) -> DataFrame:
+    """query_id, doc_id, score of the chunks that have a query term, from postings."""
     toks = tokenized(docs, tokenizer)
     tf, stats = postings(toks), scope_stats(toks)
     qtf = tokenized(queries.withColumnRenamed("query_id", "doc_id"), tokenizer).select("scope", F.col("doc_id").alias("query_id"), F.explode("tokens").alias("term")).groupBy("query_id", "scope", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    length = toks.select("doc_id", F.size("tokens").alias("dl"))
+    length = toks.select("scope", "doc_id", F.size("tokens").alias("dl"))
     weight = idf(tf, stats).join(qtf, ["scope", "term"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    found = weight.join(tf, ["scope", "term"]).join(length, "doc_id").join(stats.select("scope", "avgdl"), "scope").groupBy("query_id", "doc_id").agg(F.sum(part).alias("s"))
-    every = queries.select("query_id", "scope").join(docs.select("scope", "doc_id"), "scope")
-    return every.join(found, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
+    found = weight.join(tf, ["scope", "term"]).join(length, ["scope", "doc_id"]).join(stats.select("scope", "avgdl"), "scope")
+    return found.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def term_cosine_scores(queries: DataFrame, docs: DataFrame, tokenizer=tokens) -> DataFrame:
-    """A deterministic stand-in for an encoder: cosine of the sets of distinct terms, for all chunks of the scope."""
+def term_cosine_found(queries: DataFrame, docs: DataFrame, tokenizer=tokens) -> DataFrame:
+    """A deterministic stand-in for an encoder: cosine of the sets of distinct terms, for the chunks that share one."""
     d = tokenized(docs, tokenizer).select("scope", "doc_id", F.array_distinct("tokens").alias("t"))
     q = tokenized(queries.withColumnRenamed("query_id", "doc_id"), tokenizer).select("scope", F.col("doc_id").alias("query_id"), F.array_distinct("tokens").alias("t"))
-    hit = q.select("query_id", "scope", F.explode("t").alias("term")).join(d.select("scope", "doc_id", F.explode("t").alias("term")), ["scope", "term"]).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("common"))
-    every = q.select("query_id", "scope", F.size("t").alias("nq")).join(d.select("scope", "doc_id", F.size("t").alias("nd")), "scope")
-    both = every.join(hit, ["query_id", "doc_id"], "left")
-    cosine = F.coalesce("common", F.lit(0)) / F.sqrt(F.greatest(F.col("nq") * F.col("nd"), F.lit(1)).cast("double"))
-    return both.select("query_id", "doc_id", F.round(cosine, 6).alias("score"))
+    terms = d.select("scope", "doc_id", F.size("t").alias("nd"), F.explode("t").alias("term"))
+    hit = q.select("query_id", "scope", F.size("t").alias("nq"), F.explode("t").alias("term")).join(terms, ["scope", "term"])
+    cosine = F.count(F.lit(1)) / F.sqrt((F.first("nq") * F.first("nd")).cast("double"))
+    return hit.groupBy("query_id", "doc_id").agg(F.round(cosine, 6).alias("score"))
+
+
+def with_zeros(found: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Scores of all chunks of each query's scope; those that weren't found have 0."""
+    every = queries.select("query_id", "scope").join(docs.select("scope", "doc_id"), "scope")
+    return every.join(found, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer=tokens) -> DataFrame:
+    """query_id, doc_id, score for all chunks of each query's scope."""
+    return with_zeros(bm25_found(queries, docs, k1, b, tokenizer), queries, docs)
+
+
+def term_cosine_scores(queries: DataFrame, docs: DataFrame, tokenizer=tokens) -> DataFrame:
+    return with_zeros(term_cosine_found(queries, docs, tokenizer), queries, docs)
+
+
+def top_found(queries: DataFrame, docs: DataFrame, k: int, found) -> DataFrame:
+    """The k best chunks of each query's scope by ``found(queries, docs)``, chunks without a score counting 0.
+
+    Queries with k positive scores are done with the postings; only the others are paired with all chunks of their scope.
+    """
+    best = saved(top_k(found(queries, docs).where("score > 0"), "query_id", k), "best")
+    short = queries.join(best.where(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
+    if short.isEmpty():
+        return best
+    rest = top_k(with_zeros(found(short, docs), short, docs), "query_id", k)
+    return saved(best.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest), "best")
 
 
 def rrf(a: DataFrame, b: DataFrame, k: int, rrf_k: int = 60, missing: int = 9999) -> DataFrame:
@@ -103,4 +171,4 @@ def nested(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.join(lists, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(lists.schema["hits"].dataType)))
 
 
-__all__ = ["bm25_scores", "dense_scores", "dot", "idf", "nested", "normalised", "postings", "rrf", "scope_stats", "term_cosine_scores", "three_way", "tokenized", "top_k"]
+__all__ = ["bm25_found", "bm25_scores", "dense_scores", "dense_topk", "dot", "idf", "nested", "normalised", "postings", "rrf", "scope_stats", "term_cosine_found", "term_cosine_scores", "three_way", "tokenized", "top_found", "top_k"]

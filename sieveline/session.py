@@ -1,13 +1,14 @@
-"""Makes the package importable on executors that don't have it on their path."""
+"""Makes the package importable on executors that don't have it on their path, and saves tables for several uses."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
@@ -23,3 +24,21 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``. Only a session in one process may lack it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="sieveline-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/sieveline/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The table, computed once: written to the shared folder and read from there, so that it survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -36,9 +36,9 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: str, escape: str = "\\") -> DataFrame:
     """The header decides which columns there are; required ones that it lacks are an error naming them."""
-    head = spark.read.csv(path, header=True)
+    head = spark.read.csv(path, header=True, escape=escape)
     names = [f.split(" ")[0] for f in schema.split(", ")]
     require(head, [n for n in names if n != "qa_count_cumulative"])
     types = dict(f.split(" ") for f in schema.split(", "))
@@ -72,13 +72,16 @@ def chunk_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def votes_csv(spark: SparkSession, path: str, template: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, label, notes. Digit-only ids of less than eight signs are padded; with a template, only to its ids."""
-    rows = require(spark.read.csv(path, header=True, multiLine=True), ["query_id", "chunk_id", "label"]).where("query_id is not null and chunk_id is not null")
+    """query_id, chunk_id, label, notes. Digit-only ids of less than eight signs are padded; with a template (query_id, chunk_id), only
+    where the query has the padded id there. Rows without a query or chunk are skipped."""
+    rows = require(spark.read.csv(path, header=True, multiLine=True), ["query_id", "chunk_id", "label"])
+    rows = rows.withColumn("chunk_id", F.trim("chunk_id")).where("coalesce(query_id, '') != '' and coalesce(chunk_id, '') != ''")
     padded = F.when(F.col("chunk_id").rlike(r"^\d{1,7}$"), F.lpad("chunk_id", 8, "0"))
     if template is None:
         return rows.withColumn("chunk_id", F.coalesce(padded, "chunk_id"))
-    known = template.select(F.col("chunk_id").alias("p")).distinct()
-    return rows.withColumn("p0", padded).join(known, F.col("p0") == F.col("p"), "left").withColumn("chunk_id", F.coalesce("p", "chunk_id")).drop("p", "p0")
+    known = template.select(F.trim(F.col("query_id").cast("string")).alias("q0"), F.col("chunk_id").alias("p")).distinct()
+    joined = rows.withColumn("p0", padded).join(known, (F.col("p0") == F.col("p")) & (F.trim(F.col("query_id").cast("string")) == F.col("q0")), "left")
+    return joined.withColumn("chunk_id", F.coalesce("p", "chunk_id")).drop("p", "p0", "q0")
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
@@ -87,6 +90,37 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("query_ids").alias("q")).select(normal_id(F.col("q")).alias("query_id")).where("query_id is not null").distinct()
 
 
+def id_list_meta(spark: SparkSession, path: str) -> DataFrame:
+    """count (of the ids if it isn't given), source (unknown if it isn't), updated_at of an id list."""
+    raw = spark.read.schema("query_ids array<string>, count bigint, source string, updated_at string").json(path, multiLine=True)
+    return raw.select(F.coalesce("count", F.size("query_ids").cast("long")).alias("count"), F.coalesce("source", F.lit("unknown")).alias("source"), "updated_at")
+
+
+def template_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct query ids of a gold template or of retrieval records."""
+    return spark.read.schema("query_id string").json(path).select(normal_id(F.col("query_id")).alias("query_id")).where("query_id is not null").distinct()
+
+
+def vectors(spark: SparkSession, path: str, model_tag: str, stems: DataFrame | None = None) -> DataFrame:
+    """The cached vectors of one model: only its partition is read, and only the documents in ``stems``."""
+    own = spark.read.parquet(path).where(F.col("model_tag") == model_tag)
+    return own.join(stems.select("pdf_stem").distinct(), "pdf_stem", "left_semi") if stems is not None else own
+
+
+def config(spark: SparkSession, path: str) -> dict:
+    """A JSON or YAML configuration file; a missing one is empty. YAML asks for the yaml package."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+        return {}
+    text = spark.read.text(path, wholetext=True).first().value
+    try:
+        return json.loads(text) or {}
+    except ValueError:
+        import yaml
+
+        return yaml.safe_load(text) or {}
+
+
 def exclude_list(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """pdf_stem of a JSON object's problematic items or of a JSON list, else of the file's lines.
 

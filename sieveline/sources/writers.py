@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.gold import upserted
 from ..operators.retrieval import nested
 
 
@@ -42,3 +43,16 @@ def stats(row: DataFrame, params: dict[str, str], path: str) -> None:
     """One record of statistics and the parameters that they belong to."""
     given = F.map_from_arrays(F.array(*map(F.lit, params)), F.array(*map(F.lit, params.values()))) if params else F.create_map().cast("map<string,string>")
     jsonl(row.withColumn("params", given).withColumn("at", F.current_timestamp()).coalesce(1), path)
+
+
+def problem_documents(problems: DataFrame, thresholds: dict[str, float], stage: str, path: str) -> None:
+    """One record: stage, thresholds, and the problematic documents (pdf_stem, reasons); a list of documents to leave out."""
+    given = F.struct(*(F.lit(float(v)).alias(k) for k, v in thresholds.items()))
+    row = problems.agg(F.sort_array(F.collect_list(F.struct("pdf_stem", "reasons"))).alias("problematic"))
+    jsonl(row.select(F.lit(stage).alias("stage"), given.alias("thresholds"), "problematic").coalesce(1), path)
+
+
+def dropped_list(existing: DataFrame, new: DataFrame, path: str) -> None:
+    """The dropped ids with new ones; without new ones nothing is written."""
+    if not new.isEmpty():
+        id_list(upserted(existing, new), path, "gold_eval_no_positive")
