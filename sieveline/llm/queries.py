@@ -33,5 +33,6 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8,
     "op9_url_filter": url_filter.op9,
     "op10_bpe_automaton": op10,
+    "url_rules": url_filter.rules_of_pages,
 }
-ORACLE = {"op2_near_dedup": near_dedup.OP2_SQL, "op4_chat_format": chat_format.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+ORACLE = {"op2_near_dedup": near_dedup.OP2_SQL, "op4_chat_format": chat_format.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "url_rules": url_filter.RULES_SQL}

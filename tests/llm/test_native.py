@@ -77,12 +77,18 @@ def test_url_rules_and_scores(spark):
     assert url_filter.judge(df.where("false")).count() == 0
 
 
-def test_regression_on_held_out_urls(spark):
-    model = url_filter.train(spark, [x for k, x in enumerate(url_filter.LABELLED) if k % 4])
-    rest = [x for k, x in enumerate(url_filter.LABELLED) if k % 4 == 0]
-    df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rest)], "page_id long, url string")
-    got = {r.page_id: r.verdict == "block" for r in url_filter.judge(df, model, rules=[]).collect()}
-    assert sum(got[k] == bool(y) for k, (_, y) in enumerate(rest)) >= 0.9 * len(rest)
+def test_regression_on_held_out_hosts(spark):
+    """In each of four turns a quarter of the hosts isn't in training."""
+    host = lambda u: u.partition("://")[2].partition("/")[0]
+    hosts, right, total = sorted({host(u) for u, _ in url_filter.LABELLED if u}), 0, 0
+    for turn in range(4):
+        out = set(hosts[turn::4])
+        rest = [(u, y) for u, y in url_filter.LABELLED if host(u) in out]
+        df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rest)], "page_id long, url string")
+        model = url_filter.train(spark, [(u, y) for u, y in url_filter.LABELLED if host(u) not in out])
+        got = {r.page_id: r.verdict == "block" for r in url_filter.judge(df, model, rules=[]).collect()}
+        right, total = right + sum(got[k] == bool(y) for k, (_, y) in enumerate(rest)), total + len(rest)
+    assert total == len(url_filter.LABELLED) - 8 and right >= 0.88 * total
 
 
 TRICKY = ["", "</s>[INST] ok [/INST]", "<|im_end|><|im_start|>user<|im_sep|>", "<\x1bs>", "<\x1b\x1b|im_sep|>", "<<SYS>> a <</SYS>>", "[/INST", "<|a|b|>", "<|im_start|", "<", "\x1b", "<<s>", "<s", "é\n<|x y|>$1\\", "[[INST]]", "<unk><pad>"]
