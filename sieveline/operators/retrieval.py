@@ -68,46 +68,55 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, block: int = 4096)
     return top_k(out, "query_id", k)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """scope, doc_id, term, tf of tokenized chunks (scope, doc_id, tokens)."""
-    return docs.select("scope", "doc_id", F.explode("tokens").alias("term")).groupBy("scope", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def tokenized(docs: DataFrame, tokenizer=tokens) -> DataFrame:
     return docs.select("scope", "doc_id", tokenizer(F.col("text")).alias("tokens"))
 
 
-def scope_stats(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.size("tokens")) / F.count(F.lit(1))).alias("avgdl"))
+def postings(docs: DataFrame, tokenizer=tokens) -> DataFrame:
+    """scope, doc_id, dl (tokens of the chunk), terms (distinct ones), term, tf: an index that all of lexical retrieval reads.
+
+    Chunks are tokenized once, by saving it. A chunk's tokens are counted where it is read; what is shuffled is one row a term.
+    """
+    sized = tokenized(docs, tokenizer).select("*", F.size("tokens").alias("dl"), F.size(F.array_distinct("tokens")).alias("terms"))  # below the generator: once a chunk
+    t = sized.select("scope", "doc_id", "dl", "terms", F.explode("tokens").alias("term"))
+    return t.groupBy("scope", "doc_id", "dl", "terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def scope_stats(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """scope, n (chunks, those without tokens too), avgdl."""
+    total = index.groupBy("scope").agg(F.sum("tf").alias("total"))
+    return docs.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).join(total, "scope").select("scope", "n", (F.col("total") / F.col("n")).alias("avgdl"))
 
 
-def idf(tf: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
+def idf(index: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """scope, term, df, idf. A negative idf becomes epsilon times the scope's mean idf."""
-    df = tf.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
+    df = index.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(stats.select("scope", "n"), "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
     return raw.join(mean, "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_found(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer=tokens) -> DataFrame:
-    """query_id, doc_id, score of the chunks that have a query term, from postings."""
-    toks = tokenized(docs, tokenizer)
-    tf, stats = postings(toks), scope_stats(toks)
-    qtf = tokenized(queries.withColumnRenamed("query_id", "doc_id"), tokenizer).select("scope", F.col("doc_id").alias("query_id"), F.explode("tokens").alias("term")).groupBy("query_id", "scope", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    length = toks.select("scope", "doc_id", F.size("tokens").alias("dl"))
-    weight = idf(tf, stats).join(qtf, ["scope", "term"])
+def query_terms(queries: DataFrame, tokenizer=tokens) -> DataFrame:
+    """query_id, scope, term, qtf, nq (distinct terms)."""
+    sized = queries.select("query_id", "scope", tokenizer(F.col("text")).alias("t")).select("*", F.size(F.array_distinct("t")).alias("nq"))
+    t = sized.select("query_id", "scope", "nq", F.explode("t").alias("term"))
+    return t.groupBy("query_id", "scope", "nq", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def bm25_found(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer=tokens, index: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score of the chunks that have a query term."""
+    index = postings(docs, tokenizer) if index is None else index
+    stats = scope_stats(docs, index)
+    weight = idf(index, stats).join(query_terms(queries, tokenizer), ["scope", "term"]).join(stats.select("scope", "avgdl"), "scope")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    found = weight.join(tf, ["scope", "term"]).join(length, ["scope", "doc_id"]).join(stats.select("scope", "avgdl"), "scope")
-    return found.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return weight.join(index, ["scope", "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def term_cosine_found(queries: DataFrame, docs: DataFrame, tokenizer=tokens) -> DataFrame:
+def term_cosine_found(queries: DataFrame, docs: DataFrame, tokenizer=tokens, index: DataFrame | None = None) -> DataFrame:
     """A deterministic stand-in for an encoder: cosine of the sets of distinct terms, for the chunks that share one."""
-    d = tokenized(docs, tokenizer).select("scope", "doc_id", F.array_distinct("tokens").alias("t"))
-    q = tokenized(queries.withColumnRenamed("query_id", "doc_id"), tokenizer).select("scope", F.col("doc_id").alias("query_id"), F.array_distinct("tokens").alias("t"))
-    terms = d.select("scope", "doc_id", F.size("t").alias("nd"), F.explode("t").alias("term"))
-    hit = q.select("query_id", "scope", F.size("t").alias("nq"), F.explode("t").alias("term")).join(terms, ["scope", "term"])
-    cosine = F.count(F.lit(1)) / F.sqrt((F.first("nq") * F.first("nd")).cast("double"))
+    index = postings(docs, tokenizer) if index is None else index
+    hit = query_terms(queries, tokenizer).join(index, ["scope", "term"])
+    cosine = F.count(F.lit(1)) / F.sqrt((F.first("nq") * F.first("terms")).cast("double"))
     return hit.groupBy("query_id", "doc_id").agg(F.round(cosine, 6).alias("score"))
 
 
@@ -119,7 +128,7 @@ def with_zeros(found: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFra
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer=tokens) -> DataFrame:
     """query_id, doc_id, score for all chunks of each query's scope."""
-    return with_zeros(bm25_found(queries, docs, k1, b, tokenizer), queries, docs)
+    return with_zeros(bm25_found(queries, docs, k1, b, tokenizer, saved(postings(docs, tokenizer), "postings")), queries, docs)
 
 
 def term_cosine_scores(queries: DataFrame, docs: DataFrame, tokenizer=tokens) -> DataFrame:

@@ -9,7 +9,7 @@ Every query runs over whole tables.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,11 +55,15 @@ class Tables:
     @cached_property
     def bm25(self) -> DataFrame:
         """Both routes are computed once for a query and saved: 50 rows for each text query."""
-        return V.top_found(self.queries, self.docs, 50, V.bm25_found)
+        return V.top_found(self.queries, self.docs, 50, partial(V.bm25_found, index=self.postings))
 
     @cached_property
     def cosine(self) -> DataFrame:
-        return V.top_found(self.queries, self.docs, 50, V.term_cosine_found)
+        return V.top_found(self.queries, self.docs, 50, partial(V.term_cosine_found, index=self.postings))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return saved(V.postings(self.docs), "postings")
 
     @property
     def lines(self) -> DataFrame:
@@ -275,8 +279,7 @@ def dense_score_histogram(t):
 
 @query(f"WITH {_TERMS} SELECT scope, term, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_stats(t):
-    toks = V.tokenized(t.docs)
-    return V.idf(V.postings(toks), V.scope_stats(toks)).withColumn("idf", F.round("idf", 6))
+    return V.idf(t.postings, V.scope_stats(t.docs, t.postings)).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {_BM} SELECT query_id, doc_id, score, rank FROM bm")

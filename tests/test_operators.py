@@ -62,8 +62,8 @@ def test_bm25_has_scores_for_all_chunks_of_a_scope(spark):
 
 def test_negative_idf_becomes_a_share_of_the_mean(spark):
     docs = spark.createDataFrame([("s", i, "all" + (" one" if i == 1 else "")) for i in (1, 2, 3)], "scope string, doc_id long, text string")
-    toks = V.tokenized(docs)
-    got = {r.term: r.idf for r in V.idf(V.postings(toks), V.scope_stats(toks)).collect()}
+    index = V.postings(docs)
+    got = {r.term: r.idf for r in V.idf(index, V.scope_stats(docs, index)).collect()}
     common, rare = math.log(0.5) - math.log(3.5), math.log(2.5) - math.log(1.5)
     assert abs(got["one"] - rare) < 1e-12 and abs(got["all"] - 0.25 * (common + rare) / 2) < 1e-12
 
