@@ -28,15 +28,18 @@ def clean(triplets: DataFrame) -> DataFrame:
 def group_split(triplets: DataFrame, ratio: float = 0.9, seed: str = "42") -> DataFrame:
     """Adds split; all triplets of a query are in one. The first int(n * ratio) queries in hash order train.
 
-    The window runs over distinct query ids only.
+    A query's place is its place among those with the same first three digits of the hash, plus the number of queries before these:
+    4,096 windows of distinct query ids, and one over their counts.
     """
     if not 0 < ratio < 1:
         raise ValueError("ratio must lie between 0 and 1")
-    ids = triplets.select("query_id").distinct()
-    total = ids.agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).alias("n"))
-    ranked = ids.withColumn("r", F.row_number().over(Window.orderBy(hash_order(F.col("query_id"), seed), "query_id")))
-    split = ranked.join(F.broadcast(total), F.lit(True)).select("query_id", F.when(F.col("r") <= F.col("n"), "train").otherwise("dev").alias("split"))
-    return triplets.join(split, "query_id")
+    ids = triplets.select("query_id").distinct().withColumn("h", hash_order(F.col("query_id"), seed)).withColumn("digits", F.substring("h", 1, 3))
+    counts = ids.groupBy("digits").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.orderBy("digits")) - F.col("c")
+    places = counts.select("digits", before.alias("before"), F.floor(F.sum("c").over(Window.partitionBy()) * F.lit(ratio)).alias("n"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("digits").orderBy("h", "query_id"))
+    split = ids.join(places, "digits").withColumn("split", F.when(place <= F.col("n"), "train").otherwise("dev"))
+    return triplets.join(split.select("query_id", "split"), "query_id")
 
 
 def negatives_profile(counts: DataFrame, column: str = "n_neg") -> DataFrame:

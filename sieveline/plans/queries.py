@@ -452,7 +452,8 @@ def train_filter_reasons(t):
 @query(f"""{_REASON}, ids AS (SELECT query_id, row_number() OVER (ORDER BY {_ORDER.format('query_id')}, query_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT query_id FROM fr WHERE reason = 'kept'))
 SELECT query_id, pos_id, CASE WHEN r <= floor(n * 0.9) THEN 'train' ELSE 'dev' END AS split FROM fr JOIN ids USING (query_id) WHERE reason = 'kept'""")
 def group_split(t):
-    return T.group_split(_filtered(t).where("reason = 'kept'")).select("query_id", "pos_id", "split")
+    kept = saved(_filtered(t).where("reason = 'kept'").select("query_id", "pos_id"), "kept")  # it is read three times
+    return T.group_split(kept).select("query_id", "pos_id", "split")
 
 
 @query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), s AS (SELECT list(n ORDER BY n) AS v, min(n) AS mi, max(n) AS ma, avg(n) AS av, median(n) AS me, count(*) AS k FROM c)
