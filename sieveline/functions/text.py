@@ -86,7 +86,7 @@ def for_bm25(s: Column, unicode_forms: bool = True) -> Column:
 
 def tokens(s: Column) -> Column:
     """The default tokenizer: lower-cased runs of letters and numbers."""
-    return F.filter(F.split(F.lower(F.coalesce(s, F.lit(""))), TOKEN_SPLIT), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(s, F.lit(""))), TOKEN_SPLIT), "")
 
 
 def cjk_tokens(s: Column) -> Column:

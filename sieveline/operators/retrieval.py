@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import saved
+from ..session import saved, small
 from .ranking import ranked, top_k
 
 
@@ -81,62 +81,120 @@ def scope_stats(docs: DataFrame) -> DataFrame:
     return docs.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.size("tokens")) / F.count(F.lit(1))).alias("avgdl"))
 
 
-def idf(tf: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
+def term_df(docs: DataFrame) -> DataFrame:
+    """scope, term, df of tokenized chunks, one row for each doc_id: a chunk's terms are made distinct within its row, so only counts are shuffled."""
+    return docs.select("scope", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def raw_idf(n: str = "n", df: str = "df") -> Column:
+    return F.log(F.col(n) - F.col(df) + 0.5) - F.log(F.col(df) + 0.5)
+
+
+def mean_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """scope, n, mean: each scope's mean idf, from the number of its terms with each df."""
+    counts = df.groupBy("scope", "df").agg(F.count(F.lit(1)).alias("c")).join(stats.select("scope", "n"), "scope")
+    return counts.groupBy("scope", "n").agg((F.sum(F.col("c") * raw_idf()) / F.sum("c")).alias("mean"))
+
+
+def idf_of(df: DataFrame, means: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """scope, term, df, idf. A negative idf becomes epsilon times the scope's mean idf."""
+    raw = df.join(means, "scope").withColumn("raw", raw_idf())
+    return raw.select("scope", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def idf(tf: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """idf_of with the dfs of postings."""
     df = tf.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(stats.select("scope", "n"), "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
-    return raw.join(mean, "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-
-
-def bm25_found(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer=tokens) -> DataFrame:
-    """query_id, doc_id, score of the chunks that have a query term, from postings."""
-    toks = tokenized(docs, tokenizer)
-    tf, stats = postings(toks), scope_stats(toks)
-    qtf = tokenized(queries.withColumnRenamed("query_id", "doc_id"), tokenizer).select("scope", F.col("doc_id").alias("query_id"), F.explode("tokens").alias("term")).groupBy("query_id", "scope", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    length = toks.select("scope", "doc_id", F.size("tokens").alias("dl"))
-    weight = idf(tf, stats).join(qtf, ["scope", "term"])
+    return idf_of(df, mean_idf(df, stats), epsilon)
+
+
+def query_terms(queries: DataFrame, tokenizer=tokens) -> DataFrame:
+    """query_id, scope, term, qtf."""
+    terms = tokenized(queries.withColumnRenamed("query_id", "doc_id"), tokenizer).select("scope", F.col("doc_id").alias("query_id"), F.explode("tokens").alias("term"))
+    return terms.groupBy("query_id", "scope", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def asked_postings(queries: DataFrame, docs: DataFrame, tokenizer=tokens) -> DataFrame:
+    """scope, doc_id, term, tf, dl, nd: the postings of those terms that a query of the scope has, saved.
+
+    Each chunk of a query's scope also has a row without a term. dl is a chunk's number of tokens, nd that of its distinct ones. The chunks are
+    tokenized once; tokens that no query has are dropped where they are made, by a broadcast of the queries' terms.
+    """
+    terms = tokenized(queries.withColumnRenamed("query_id", "doc_id"), tokenizer).select("scope", F.explode_outer(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    asked = small(saved(terms.distinct(), "asked")).select(F.col("scope").alias("asked_scope"), F.col("term").alias("asked_term"))
+    sized = tokenized(docs, tokenizer).select(
+        "scope", "doc_id", F.size("tokens").alias("dl"), F.size(F.array_distinct("tokens")).alias("nd"), F.concat("tokens", F.array(F.lit(None).cast("string"))).alias("terms"),
+    )
+    each = sized.select("scope", "doc_id", "dl", "nd", F.explode("terms").alias("term"))
+    hit = each.join(asked, (F.col("scope") == F.col("asked_scope")) & F.col("term").eqNullSafe(F.col("asked_term")))
+    return saved(hit.groupBy("scope", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"), F.max("nd").alias("nd")), "postings")
+
+
+def asked_chunks(found: DataFrame) -> DataFrame:
+    return found.where("term is null").select("scope", "doc_id")
+
+
+def bm25_weights(queries: DataFrame, docs: DataFrame, asked: DataFrame, tokenizer=tokens) -> DataFrame:
+    """query_id, scope, term, qtf, idf, avgdl, saved. All terms of a scope are counted only if a query's term needs the scope's mean idf."""
+    stats = asked.where("term is null").groupBy("scope").agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+    stats = small(saved(stats, "stats"))
+    df = saved(asked.where("term is not null").groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")), "df")
+    low = small(saved(df.join(stats, "scope").where(raw_idf() < 0).select("scope").distinct(), "low"))
+    every = tokenized(docs.join(low, "scope", "left_semi"), tokenizer)
+    mean = stats.select("scope", "n", F.lit(None).cast("double").alias("mean")) if low.isEmpty() else stats.select("scope", "n").join(small(saved(mean_idf(term_df(every), stats), "mean")).drop("n"), "scope", "left")
+    weight = idf_of(df, mean).join(query_terms(queries, tokenizer), ["scope", "term"]).join(stats.select("scope", "avgdl"), "scope")
+    return saved(weight.select("query_id", "scope", "term", "qtf", "idf", "avgdl"), "weights")
+
+
+def bm25_found(weights: DataFrame, asked: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, score of the chunks that have a query term."""
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    found = weight.join(tf, ["scope", "term"]).join(length, ["scope", "doc_id"]).join(stats.select("scope", "avgdl"), "scope")
-    return found.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    hit = asked.where("term is not null and doc_id is not null").join(small(weights), ["scope", "term"])
+    return hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def term_cosine_found(queries: DataFrame, docs: DataFrame, tokenizer=tokens) -> DataFrame:
-    """A deterministic stand-in for an encoder: cosine of the sets of distinct terms, for the chunks that share one."""
-    d = tokenized(docs, tokenizer).select("scope", "doc_id", F.array_distinct("tokens").alias("t"))
+def cosine_weights(queries: DataFrame, tokenizer=tokens) -> DataFrame:
+    """query_id, scope, term, nq (the query's number of distinct terms), saved."""
     q = tokenized(queries.withColumnRenamed("query_id", "doc_id"), tokenizer).select("scope", F.col("doc_id").alias("query_id"), F.array_distinct("tokens").alias("t"))
-    terms = d.select("scope", "doc_id", F.size("t").alias("nd"), F.explode("t").alias("term"))
-    hit = q.select("query_id", "scope", F.size("t").alias("nq"), F.explode("t").alias("term")).join(terms, ["scope", "term"])
+    return saved(q.select("query_id", "scope", F.size("t").alias("nq"), F.explode("t").alias("term")), "terms")
+
+
+def term_cosine_found(weights: DataFrame, asked: DataFrame) -> DataFrame:
+    """A deterministic stand-in for an encoder: cosine of the sets of distinct terms, for the chunks that share one."""
+    hit = asked.where("term is not null and doc_id is not null").join(small(weights), ["scope", "term"])
     cosine = F.count(F.lit(1)) / F.sqrt((F.first("nq") * F.first("nd")).cast("double"))
     return hit.groupBy("query_id", "doc_id").agg(F.round(cosine, 6).alias("score"))
 
 
-def with_zeros(found: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+def with_zeros(found: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Scores of all chunks of each query's scope; those that weren't found have 0."""
-    every = queries.select("query_id", "scope").join(docs.select("scope", "doc_id"), "scope")
+    every = chunks.select("scope", "doc_id").join(queries.select("query_id", "scope"), "scope")
     return every.join(found, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer=tokens) -> DataFrame:
     """query_id, doc_id, score for all chunks of each query's scope."""
-    return with_zeros(bm25_found(queries, docs, k1, b, tokenizer), queries, docs)
+    asked = asked_postings(queries, docs, tokenizer)
+    return with_zeros(bm25_found(bm25_weights(queries, docs, asked, tokenizer), asked, k1, b), queries, asked_chunks(asked))
 
 
 def term_cosine_scores(queries: DataFrame, docs: DataFrame, tokenizer=tokens) -> DataFrame:
-    return with_zeros(term_cosine_found(queries, docs, tokenizer), queries, docs)
+    asked = asked_postings(queries, docs, tokenizer)
+    return with_zeros(term_cosine_found(cosine_weights(queries, tokenizer), asked), queries, asked_chunks(asked))
 
 
-def top_found(queries: DataFrame, docs: DataFrame, k: int, found) -> DataFrame:
-    """The k best chunks of each query's scope by ``found(queries, docs)``, chunks without a score counting 0.
+def top_found(queries: DataFrame, asked: DataFrame, weights: DataFrame, k: int, found) -> DataFrame:
+    """The k best chunks of each query's scope by ``found(weights, asked)``, chunks without a score counting 0.
 
     Queries with k positive scores are done with the postings; only the others are paired with all chunks of their scope.
     """
-    best = saved(top_k(found(queries, docs).where("score > 0"), "query_id", k), "best")
-    short = queries.join(best.where(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
+    best = saved(top_k(found(weights, asked).where("score > 0"), "query_id", k), "best")
+    short = small(saved(queries.select("query_id", "scope").join(best.where(F.col("rank") == k).select("query_id"), "query_id", "left_anti"), "short"))
     if short.isEmpty():
         return best
-    rest = top_k(with_zeros(found(short, docs), short, docs), "query_id", k)
-    return saved(best.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest), "best")
+    ids = short.select("query_id")
+    rest = top_k(with_zeros(found(weights.join(ids, "query_id", "left_semi"), asked), short, asked_chunks(asked)), "query_id", k)
+    return saved(best.join(ids, "query_id", "left_anti").unionByName(rest), "best")
 
 
 def rrf(a: DataFrame, b: DataFrame, k: int, rrf_k: int = 60, missing: int = 9999) -> DataFrame:
@@ -171,4 +229,4 @@ def nested(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.join(lists, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(lists.schema["hits"].dataType)))
 
 
-__all__ = ["bm25_found", "bm25_scores", "dense_scores", "dense_topk", "dot", "idf", "nested", "normalised", "postings", "rrf", "scope_stats", "term_cosine_found", "term_cosine_scores", "three_way", "tokenized", "top_found", "top_k"]
+__all__ = ["asked_chunks", "asked_postings", "bm25_found", "bm25_scores", "bm25_weights", "cosine_weights", "dense_scores", "dense_topk", "dot", "idf", "idf_of", "mean_idf", "nested", "normalised", "postings", "rrf", "scope_stats", "term_cosine_found", "term_cosine_scores", "term_df", "three_way", "tokenized", "top_found", "top_k"]

@@ -23,7 +23,7 @@ from ..operators import ranking as R
 from ..operators import retrieval as V
 from ..operators import runs as U
 from ..operators import training as T
-from ..session import saved, shared_path, ship
+from ..session import saved, shared_path, ship, small
 from ..sources import readers, writers
 from ..streaming import incremental as I
 
@@ -52,14 +52,19 @@ class Tables:
         v = self.raw("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("scope"), F.col("embedding").alias("vector"))
         return v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), v
 
+    @cached_property
+    def asked(self) -> DataFrame:
+        """The postings of all queries' terms, read off the documents once for both routes."""
+        return V.asked_postings(self.queries, self.docs)
+
     @cached_property
     def bm25(self) -> DataFrame:
         """Both routes are computed once for a query and saved: 50 rows for each text query."""
-        return V.top_found(self.queries, self.docs, 50, V.bm25_found)
+        return V.top_found(self.queries, self.asked, V.bm25_weights(self.queries, self.docs, self.asked), 50, V.bm25_found)
 
     @cached_property
     def cosine(self) -> DataFrame:
-        return V.top_found(self.queries, self.docs, 50, V.term_cosine_found)
+        return V.top_found(self.queries, self.asked, V.cosine_weights(self.queries), 50, V.term_cosine_found)
 
     @property
     def lines(self) -> DataFrame:
@@ -276,7 +281,8 @@ def dense_score_histogram(t):
 @query(f"WITH {_TERMS} SELECT scope, term, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_stats(t):
     toks = V.tokenized(t.docs)
-    return V.idf(V.postings(toks), V.scope_stats(toks)).withColumn("idf", F.round("idf", 6))
+    df = saved(V.term_df(toks), "df")  # it is read twice
+    return V.idf_of(df, small(saved(V.mean_idf(df, V.scope_stats(toks)), "mean"))).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {_BM} SELECT query_id, doc_id, score, rank FROM bm")

@@ -282,3 +282,21 @@ def test_repaired_json(spark):
     df = spark.createDataFrame(list(enumerate(said)), "i int, s string")
     got = [r[0] for r in df.orderBy("i").select(X.label_items(X.repaired_json(F.col("s")))).collect()]
     assert [[tuple(x) for x in g] if g is not None else None for g in got] == [[(0, "evidence", "")], [(2, "irrelevant", "n")], None, None]
+
+
+def test_routes_read_only_the_postings_of_asked_terms(spark):
+    q = spark.createDataFrame([(1, "a", "x y y"), (2, "a", None), (3, "b", "x"), (4, "c", "x")], "query_id long, scope string, text string")
+    docs = spark.createDataFrame([(1, "a", "x z z z"), (2, "a", "y y x w"), (3, "a", None), (4, "a", "w"), (5, "b", "y"), (6, "d", "x")], "doc_id long, scope string, text string")
+    asked = V.asked_postings(q, docs)
+    got = sorted((r.doc_id, r.term or "", r.tf, r.dl, r.nd) for r in asked.collect())
+    assert got == [(1, "", 1, 4, 2), (1, "x", 1, 4, 2), (2, "", 1, 4, 3), (2, "x", 1, 4, 3), (2, "y", 2, 4, 3), (3, "", 1, 0, 0), (4, "", 1, 1, 1), (5, "", 1, 1, 1)]
+    toks = V.tokenized(docs)
+    want = {(r.scope, r.term): r.idf for r in V.idf(V.postings(toks), V.scope_stats(toks)).collect()}
+    weights = V.bm25_weights(q, docs, asked)
+    assert {(r.query_id, r.term): r.idf for r in weights.collect()} == {(1, "x"): want["a", "x"], (1, "y"): want["a", "y"]}
+    top = V.top_found(q, asked, weights, 2, V.bm25_found)
+    assert rows(top.select("query_id", "rank", "doc_id")) == [(1, 1, 2), (1, 2, 1), (2, 1, 1), (2, 2, 2), (3, 1, 5)]
+    often = spark.createDataFrame([(i, "a", "x " * i + f"t{i}") for i in range(1, 6)], "doc_id long, scope string, text string")
+    w = V.bm25_weights(q, often, V.asked_postings(q, often)).collect()
+    toks = V.tokenized(often)
+    assert [round(r.idf, 9) for r in w] == [round(r.idf, 9) for r in V.idf(V.postings(toks), V.scope_stats(toks)).where("term = 'x'").collect()]
