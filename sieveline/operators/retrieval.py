@@ -12,6 +12,10 @@ from ..session import saved, small
 from .ranking import ranked, top_k
 
 
+# Queries and chunks whose scores a task holds at a time: a million scores.
+BLOCK = 1024
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -28,12 +32,49 @@ def dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.select("query_id", "doc_id", F.round(dot(F.col("qv"), F.col("cv")), 6).alias("score"))
 
 
+def kept_best(old_id: np.ndarray, old: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and scores, a row for each query: the k best of the kept and the new ones, by falling score and id, NaN first as in Spark. Once k are
+    kept, only those that reach the last of them are sorted."""
+    n, held = old.shape
+    if held >= k:
+        row, column = np.nonzero(~(scores < old[:, -1:]))
+        new_row, new_id, new = np.concatenate([np.repeat(np.arange(n), held), row]), np.concatenate([old_id.ravel(), ids[column]]), np.concatenate([old.ravel(), scores[row, column]])
+        order = np.lexsort((new_id, -new, ~np.isnan(new), new_row))
+        first = np.searchsorted(new_row[order], np.arange(n))
+        take = order[first[:, None] + np.arange(k)]
+        return new_id[take], new[take]
+    both, both_id = np.hstack([old, scores]), np.hstack([old_id, np.broadcast_to(ids, scores.shape)])
+    order = np.lexsort((both_id, -both, ~np.isnan(both)), axis=1)[:, :k]
+    return np.take_along_axis(both_id, order, 1), np.take_along_axis(both, order, 1)
+
+
+def best_of(batches, names: np.ndarray, matrix: np.ndarray, k: int) -> pa.RecordBatch:
+    """query_id, doc_id, score: the k best chunks of Arrow batches (doc_id, vector) for each row of the matrix."""
+    best_id, best = np.zeros((len(names), 0), dtype=np.int64), np.empty((len(names), 0))
+    for b in batches:
+        for at in range(0, b.num_rows, BLOCK):
+            v, i = b.column(1).slice(at, BLOCK), b.column(0).slice(at, BLOCK).to_numpy(zero_copy_only=False)
+            lengths = pa.compute.list_value_length(v).fill_null(-1).to_numpy(zero_copy_only=False)
+            fits = np.flatnonzero(lengths == matrix.shape[1])
+            if not len(fits):
+                continue
+            c = v.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
+            width = max(best.shape[1], min(k, best.shape[1] + len(fits)))
+            more_id, more = np.empty((len(names), width), dtype=np.int64), np.empty((len(names), width))
+            for row in range(0, len(names), BLOCK):
+                some = slice(row, row + BLOCK)
+                more_id[some], more[some] = kept_best(best_id[some], best[some], i[fits], np.round(matrix[some] @ c.T, 6), k)
+            best_id, best = more_id, more
+    n = best.shape[1]
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best_id.ravel()), pa.array(best.ravel())], ["query_id", "doc_id", "score"])
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """query_id, doc_id, score, rank: the k best of all chunks for each of a stated set of queries.
 
     The queries go to the tasks in blocks of at most ``block`` vectors, as one matrix each. A task multiplies its batches with the block
-    and keeps k chunks a query, so what is shuffled is k rows for each query and task, whatever the corpus. Vectors of another
-    length than the block's, and null ones, have no score.
+    and keeps k chunks a query, so what is shuffled is k rows for each query and task, whatever the corpus. Scores exist for ``BLOCK``
+    queries and ``BLOCK`` chunks at a time. Vectors of another length than the block's, and null ones, have no score.
     """
     spark = chunks.sparkSession
     ids = queries.select("query_id").where("vector is not null")
@@ -45,21 +86,7 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, block: int = 4096)
         shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), np.array([r.vector for r in rows], dtype=np.float64)))
 
         def run(batches, shared=shared):
-            names, matrix = shared.value
-            best_id, best = np.full((len(names), 0), 0, dtype=np.int64), np.empty((len(names), 0))
-            for b in batches:
-                v, i = b.column(1), b.column(0).to_numpy(zero_copy_only=False)
-                lengths = pa.compute.list_value_length(v).fill_null(-1).to_numpy(zero_copy_only=False)
-                fits = np.flatnonzero(lengths == matrix.shape[1])
-                if not len(fits):
-                    continue
-                c = v.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
-                score = np.round(matrix @ c.T, 6)
-                best, best_id = np.hstack([best, score]), np.hstack([best_id, np.broadcast_to(i[fits], score.shape)])
-                order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best_id.ravel()), pa.array(best.ravel())], ["query_id", "doc_id", "score"])
+            yield best_of(batches, *shared.value, k)
 
         some = chunks.select(F.col("doc_id").cast("long"), "vector").mapInArrow(run, "query_id long, doc_id long, score double")
         out = some if out is None else out.unionByName(some)

@@ -300,3 +300,24 @@ def test_routes_read_only_the_postings_of_asked_terms(spark):
     w = V.bm25_weights(q, often, V.asked_postings(q, often)).collect()
     toks = V.tokenized(often)
     assert [round(r.idf, 9) for r in w] == [round(r.idf, 9) for r in V.idf(V.postings(toks), V.scope_stats(toks)).where("term = 'x'").collect()]
+
+
+def test_dense_top_k_holds_a_block_of_scores():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    c, q = rng.integers(-2, 3, (6000, 4)).astype(np.float32), rng.integers(-2, 3, (1500, 4)).astype(np.float64)
+    ids = rng.permutation(6000)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(c), pa.list_(pa.float32()))], ["doc_id", "vector"])
+    tracemalloc.start()
+    got = V.best_of([batch], np.arange(1500), q, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # all scores of the batch alone are 72 MB, and sorting them takes several times that
+    order = np.argsort(ids)
+    scores = q @ c[order].T.astype(np.float64)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    assert got.column(1).to_pylist() == best.ravel().tolist() and got.column(2).to_pylist() == np.take_along_axis(scores, best, 1).ravel().tolist()
