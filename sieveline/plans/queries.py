@@ -85,12 +85,13 @@ class Tables:
 
     @cached_property
     def matched(self) -> DataFrame:
-        return M.match(self.bm25, self.docs, self.keys)
+        """Saved, since triplets read it twice and more."""
+        return saved(M.match(self.bm25, self.docs, self.keys), "matched")
 
     @property
     def part_matched(self) -> DataFrame:
         """Without the texts of every ninth document."""
-        return M.match(self.bm25, self.docs.where("doc_id % 9 <> 0"), self.keys)
+        return saved(M.match(self.bm25, self.docs.where("doc_id % 9 <> 0"), self.keys), "matched")
 
     @property
     def gold(self) -> DataFrame:

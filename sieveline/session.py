@@ -48,3 +48,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A saved table, marked for broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def having(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is in another table; they aren't shuffled for it unless its keys are many."""
+    return rows.join(small(saved(ids.select(key).distinct(), "ids")), key, "left_semi")
