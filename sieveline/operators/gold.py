@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_label, candidate_key
+from ..session import having
 from .training import hash_order
 
 
@@ -80,7 +81,8 @@ def template(hits: DataFrame, docs: DataFrame, k: int = 20, strict_missing: bool
 
     strict_missing: a candidate without a chunk is an error (``missing_chunks`` names them).
     """
-    rows = hits.where(F.col("rank") <= k).join(docs.select("doc_id", "text", F.lit(True).alias("there")), "doc_id", "left")
+    first = hits.where(F.col("rank") <= k)
+    rows = first.join(having(docs.select("doc_id", "text"), first).withColumn("there", F.lit(True)), "doc_id", "left")
     if strict_missing and not rows.where("there is null").isEmpty():
         raise ValueError("candidates without a chunk")
     blank = F.trim(F.coalesce("text", F.lit(""))) == ""
