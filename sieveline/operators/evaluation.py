@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import having
+
 
 def gain(label: Column) -> Column:
     return F.when(label == "evidence", 2).when(label == "related", 1).otherwise(0)
@@ -63,7 +65,7 @@ def top_hit(hits: DataFrame, group: str = "route") -> DataFrame:
 def candidate_texts(candidates: DataFrame, gold: DataFrame, chunks: DataFrame) -> DataFrame:
     """Candidates (query_id, doc_id, ...) with text: the gold set's, or if that is empty the chunk's, or empty."""
     g = gold.groupBy("query_id", "doc_id").agg(F.max("text").alias("gold_text"))
-    c = chunks.select("doc_id", F.col("text").alias("chunk_text"))
+    c = having(chunks.select("doc_id", F.col("text").alias("chunk_text")), candidates)
     both = candidates.join(g, ["query_id", "doc_id"], "left").join(c, "doc_id", "left")
     return both.withColumn("text", F.coalesce(F.nullif("gold_text", F.lit("")), "chunk_text", F.lit(""))).drop("gold_text", "chunk_text")
 
