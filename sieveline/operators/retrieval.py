@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import saved, small
+from ..session import having, saved, small
 from .ranking import ranked, top_k
 
 
@@ -210,6 +210,12 @@ def term_cosine_scores(queries: DataFrame, docs: DataFrame, tokenizer=tokens) ->
     return with_zeros(term_cosine_found(cosine_weights(queries, tokenizer), asked), queries, asked_chunks(asked))
 
 
+def term_cosine_of(pairs: DataFrame, queries: DataFrame, asked: DataFrame, tokenizer=tokens) -> DataFrame:
+    """query_id, doc_id, score of the given pairs of a query and a chunk of its scope."""
+    found = term_cosine_found(cosine_weights(queries, tokenizer), having(asked, pairs))
+    return pairs.select("query_id", "doc_id").join(found, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def top_found(queries: DataFrame, asked: DataFrame, weights: DataFrame, k: int, found) -> DataFrame:
     """The k best chunks of each query's scope by ``found(weights, asked)``, chunks without a score counting 0.
 
@@ -256,4 +262,4 @@ def nested(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.join(lists, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(lists.schema["hits"].dataType)))
 
 
-__all__ = ["asked_chunks", "asked_postings", "bm25_found", "bm25_scores", "bm25_weights", "cosine_weights", "dense_scores", "dense_topk", "dot", "idf", "idf_of", "mean_idf", "nested", "normalised", "postings", "rrf", "scope_stats", "term_cosine_found", "term_cosine_scores", "term_df", "three_way", "tokenized", "top_found", "top_k"]
+__all__ = ["asked_chunks", "asked_postings", "bm25_found", "bm25_scores", "bm25_weights", "cosine_weights", "dense_scores", "dense_topk", "dot", "idf", "idf_of", "mean_idf", "nested", "normalised", "postings", "rrf", "scope_stats", "term_cosine_found", "term_cosine_of", "term_cosine_scores", "term_df", "three_way", "tokenized", "top_found", "top_k"]

@@ -88,7 +88,7 @@ class Tables:
         """Saved, since triplets read it twice and more."""
         return saved(M.match(self.bm25, self.docs, self.keys), "matched")
 
-    @property
+    @cached_property
     def part_matched(self) -> DataFrame:
         """Without the texts of every ninth document."""
         return saved(M.match(self.bm25, self.docs.where("doc_id % 9 <> 0"), self.keys), "matched")
@@ -730,7 +730,7 @@ def listwise_loss(t):
 
 @query(f"""{_ROUTES} SELECT query_id, doc_id, b.rank, row_number() OVER (PARTITION BY query_id ORDER BY a.score DESC, b.rank, doc_id) AS rerank_rank FROM bm b JOIN cs a USING (query_id, doc_id)""")
 def rerank_topk(t):
-    scores = V.term_cosine_scores(t.queries, t.docs).withColumnRenamed("score", "rerank_score")
+    scores = V.term_cosine_of(t.bm25, t.queries, t.asked).withColumnRenamed("score", "rerank_score")
     return E.rerank(t.bm25, scores).select("query_id", "doc_id", "rank", "rerank_rank")
 
 

@@ -321,3 +321,27 @@ def test_dense_top_k_holds_a_block_of_scores():
     scores = q @ c[order].T.astype(np.float64)
     best = np.argsort(-scores, axis=1, kind="stable")[:, :20]
     assert got.column(1).to_pylist() == best.ravel().tolist() and got.column(2).to_pylist() == np.take_along_axis(scores, best, 1).ravel().tolist()
+
+
+def test_comparisons_triplets_and_reranking_do_not_read_documents_again(spark):
+    from sieveline.plans import queries as Q
+
+    for name in ("group_deltas", "mining_stats", "rerank_topk"):
+        files = Q.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and not [f for f in files if "documents.parquet" in f], name
+
+
+def test_texts_are_chosen_before_they_are_shuffled(spark):
+    chunks = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    hits = spark.createDataFrame([(1, 3, 1, 0.5), (1, 20, 2, 0.4)], "query_id long, doc_id long, rank int, score double")
+    gold = spark.createDataFrame([], "query_id long, doc_id long, text string")
+    keys = spark.createDataFrame([(1, 0, "text3", "last")], "query_id long, pos int, value string, source string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = [E.candidate_texts(hits, gold, chunks), G.template(hits, chunks), M.match(hits, chunks, keys)]
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in made]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert all("LeftSemi, BuildRight" in p for p in plans)
+    assert [{r.doc_id: r.text for r in x.collect()} for x in made] == [{3: "text 3", 20: ""}, {3: "text 3", 20: ""}, {3: "text 3", 20: None}]
