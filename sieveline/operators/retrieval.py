@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,8 +120,17 @@ def raw_idf(n: str = "n", df: str = "df") -> Column:
 
 def mean_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     """scope, n, mean: each scope's mean idf, from the number of its terms with each df."""
-    counts = df.groupBy("scope", "df").agg(F.count(F.lit(1)).alias("c")).join(stats.select("scope", "n"), "scope")
-    return counts.groupBy("scope", "n").agg((F.sum(F.col("c") * raw_idf()) / F.sum("c")).alias("mean"))
+    return mean_of_counts(df_counts(df), stats)
+
+
+def df_counts(df: DataFrame) -> DataFrame:
+    """scope, df, c: how many terms of the scope have the df."""
+    return df.groupBy("scope", "df").agg(F.count(F.lit(1)).alias("c"))
+
+
+def mean_of_counts(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    sized = counts.join(stats.select("scope", "n"), "scope")
+    return sized.groupBy("scope", "n").agg((F.sum(F.col("c") * raw_idf()) / F.sum("c")).alias("mean"))
 
 
 def idf_of(df: DataFrame, means: DataFrame, epsilon: float = 0.25) -> DataFrame:
@@ -141,34 +151,96 @@ def query_terms(queries: DataFrame, tokenizer=tokens) -> DataFrame:
     return terms.groupBy("query_id", "scope", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def counted_terms(batches, known: dict | None, every: bool):
+    """Arrow batches scope, doc_id, term, n, dl, nd from batches of tokenized chunks (scope, doc_id, tokens).
+
+    Postings have n = tf, of the terms that ``known`` has for the chunk's scope (None: of all terms); a chunk of a known scope also has a row
+    without a term. With ``every``, rows without dl say that n chunks of the batch have the term. Terms are numbered within a batch, so that
+    counting sorts numbers.
+    """
+    for b in batches:
+        scopes, lists = b.column(0).dictionary_encode(null_encoding="encode"), b.column(2)
+        own, names = scopes.indices.to_numpy().astype(np.int64), scopes.dictionary
+        coded = lists.flatten().dictionary_encode()
+        words, width = coded.dictionary, max(1, len(coded.dictionary))
+        length = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        pair, tf = np.unique(np.repeat(np.arange(b.num_rows) * width, length) + coded.indices.to_numpy(), return_counts=True)
+        row, code = np.divmod(pair, width)
+        nd, term = np.bincount(row, minlength=b.num_rows), own[row] * width + code
+
+        def rows(scope, doc_id, term, n, dl=None, nd=None):
+            sizes = [pa.nulls(len(n), pa.int32()) if x is None else pa.array(x, pa.int32()) for x in (dl, nd)]
+            return pa.RecordBatch.from_arrays([names.take(pa.array(scope)), doc_id, term, pa.array(n, pa.int64()), *sizes], ["scope", "doc_id", "term", "n", "dl", "nd"])
+
+        if every:
+            key, df = np.unique(term, return_counts=True)
+            yield rows(key // width, pa.nulls(len(key), b.column(1).type), words.take(pa.array(key % width)), df)
+        hit, chunk = np.arange(len(term)), np.arange(b.num_rows)
+        if known is not None:
+            at = [i for i, name in enumerate(names.to_pylist()) if name in known]
+            lists = [known[names[i].as_py()] for i in at]
+            asked = pc.index_in(pa.concat_arrays([words[:0], *lists]), words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.array(at, dtype=np.int64), [len(x) for x in lists])
+            hit = np.flatnonzero(np.isin(term, of[asked >= 0] * width + asked[asked >= 0]))
+            chunk = np.flatnonzero(np.isin(own, at))
+        yield rows(own[row[hit]], b.column(1).take(pa.array(row[hit])), words.take(pa.array(code[hit])), tf[hit], length[row[hit]], nd[row[hit]])
+        yield rows(own[chunk], b.column(1).take(pa.array(chunk)), pa.nulls(len(chunk), words.type), np.ones(len(chunk), dtype=np.int64), length[chunk], nd[chunk])
+
+
+def counted(queries: DataFrame, docs: DataFrame, tokenizer=tokens, every: bool = True, most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """The postings of ``asked_postings``, and scope, df, c: how many terms of a scope have each df (with ``every``, else none). Saved.
+
+    The chunks are read and tokenized once for both; each batch is counted in a Python worker, and what is shuffled are the asked postings and
+    one row for each batch, scope and term. Up to ``most`` asked terms go to the workers; if there are more, all postings are joined with them.
+    """
+    spark = docs.sparkSession
+    terms = tokenized(queries.withColumnRenamed("query_id", "doc_id"), tokenizer).select("scope", F.explode_outer(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    asked = saved(terms.where("scope is not null").distinct(), "asked")
+    known = None
+    if asked.limit(most + 1).count() <= most:
+        lists = asked.groupBy("scope").agg(F.collect_list("term").alias("terms")).collect()  # without the nulls
+        known = spark.sparkContext.broadcast({r.scope: pa.array(r.terms, pa.string()) for r in lists})
+
+    def run(batches, known=known):
+        yield from counted_terms(batches, known and known.value, every)
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.select("scope", "doc_id").schema}
+    made = tokenized(docs, tokenizer).mapInArrow(run, f"scope {kinds['scope']}, doc_id {kinds['doc_id']}, term string, n long, dl int, nd int")
+    if known is None:
+        pairs = asked.select(F.col("scope").alias("asked_scope"), F.col("term").alias("asked_term"))
+        wanted = made.where("dl is not null").join(pairs, (F.col("scope") == F.col("asked_scope")) & F.col("term").eqNullSafe(F.col("asked_term")), "left_semi")
+        made = made.where("dl is null").unionByName(wanted) if every else wanted
+    sums = made.groupBy("scope", "doc_id", "term", F.col("dl").isNull().alias("total")).agg(F.sum("n").alias("n"), F.max("dl").alias("dl"), F.max("nd").alias("nd"))
+    table = saved(sums.select("scope", "doc_id", F.when(~F.col("total"), F.col("term")).alias("term"), "n", "dl", "nd", "total"), "postings", "total")
+    postings = table.where("not total").select("scope", "doc_id", "term", F.col("n").alias("tf"), "dl", "nd")
+    return postings, df_counts(table.where("total").select("scope", F.col("n").alias("df")))
+
+
 def asked_postings(queries: DataFrame, docs: DataFrame, tokenizer=tokens) -> DataFrame:
     """scope, doc_id, term, tf, dl, nd: the postings of those terms that a query of the scope has, saved.
 
-    Each chunk of a query's scope also has a row without a term. dl is a chunk's number of tokens, nd that of its distinct ones. The chunks are
-    tokenized once; tokens that no query has are dropped where they are made, by a broadcast of the queries' terms.
+    Each chunk of a query's scope also has a row without a term. dl is a chunk's number of tokens, nd that of its distinct ones.
     """
-    terms = tokenized(queries.withColumnRenamed("query_id", "doc_id"), tokenizer).select("scope", F.explode_outer(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
-    asked = small(saved(terms.distinct(), "asked")).select(F.col("scope").alias("asked_scope"), F.col("term").alias("asked_term"))
-    sized = tokenized(docs, tokenizer).select(
-        "scope", "doc_id", F.size("tokens").alias("dl"), F.size(F.array_distinct("tokens")).alias("nd"), F.concat("tokens", F.array(F.lit(None).cast("string"))).alias("terms"),
-    )
-    each = sized.select("scope", "doc_id", "dl", "nd", F.explode("terms").alias("term"))
-    hit = each.join(asked, (F.col("scope") == F.col("asked_scope")) & F.col("term").eqNullSafe(F.col("asked_term")))
-    return saved(hit.groupBy("scope", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"), F.max("nd").alias("nd")), "postings")
+    return counted(queries, docs, tokenizer, False)[0]
 
 
 def asked_chunks(found: DataFrame) -> DataFrame:
     return found.where("term is null").select("scope", "doc_id")
 
 
-def bm25_weights(queries: DataFrame, docs: DataFrame, asked: DataFrame, tokenizer=tokens) -> DataFrame:
-    """query_id, scope, term, qtf, idf, avgdl, saved. All terms of a scope are counted only if a query's term needs the scope's mean idf."""
+def bm25_weights(queries: DataFrame, docs: DataFrame, asked: DataFrame, tokenizer=tokens, counts: DataFrame | None = None) -> DataFrame:
+    """query_id, scope, term, qtf, idf, avgdl, saved. Without the counts of ``counted``, all terms of a scope are counted if a query's term needs
+    the scope's mean idf."""
     stats = asked.where("term is null").groupBy("scope").agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
     stats = small(saved(stats, "stats"))
-    df = saved(asked.where("term is not null").groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")), "df")
-    low = small(saved(df.join(stats, "scope").where(raw_idf() < 0).select("scope").distinct(), "low"))
-    every = tokenized(docs.join(low, "scope", "left_semi"), tokenizer)
-    mean = stats.select("scope", "n", F.lit(None).cast("double").alias("mean")) if low.isEmpty() else stats.select("scope", "n").join(small(saved(mean_idf(term_df(every), stats), "mean")).drop("n"), "scope", "left")
+    df = asked.where("term is not null").groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
+    if counts is None:
+        df = saved(df, "df")
+        low = small(saved(df.join(stats, "scope").where(raw_idf() < 0).select("scope").distinct(), "low"))
+        every = tokenized(docs.join(low, "scope", "left_semi"), tokenizer)
+        mean = stats.select("scope", "n", F.lit(None).cast("double").alias("mean")) if low.isEmpty() else stats.select("scope", "n").join(small(saved(mean_idf(term_df(every), stats), "mean")).drop("n"), "scope", "left")
+    else:
+        mean = stats.select("scope", "n").join(small(saved(mean_of_counts(counts, stats), "mean")).drop("n"), "scope", "left")
     weight = idf_of(df, mean).join(query_terms(queries, tokenizer), ["scope", "term"]).join(stats.select("scope", "avgdl"), "scope")
     return saved(weight.select("query_id", "scope", "term", "qtf", "idf", "avgdl"), "weights")
 
@@ -201,8 +273,8 @@ def with_zeros(found: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataF
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer=tokens) -> DataFrame:
     """query_id, doc_id, score for all chunks of each query's scope."""
-    asked = asked_postings(queries, docs, tokenizer)
-    return with_zeros(bm25_found(bm25_weights(queries, docs, asked, tokenizer), asked, k1, b), queries, asked_chunks(asked))
+    asked, counts = counted(queries, docs, tokenizer)
+    return with_zeros(bm25_found(bm25_weights(queries, docs, asked, tokenizer, counts), asked, k1, b), queries, asked_chunks(asked))
 
 
 def term_cosine_scores(queries: DataFrame, docs: DataFrame, tokenizer=tokens) -> DataFrame:
@@ -262,4 +334,4 @@ def nested(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.join(lists, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(lists.schema["hits"].dataType)))
 
 
-__all__ = ["asked_chunks", "asked_postings", "bm25_found", "bm25_scores", "bm25_weights", "cosine_weights", "dense_scores", "dense_topk", "dot", "idf", "idf_of", "mean_idf", "nested", "normalised", "postings", "rrf", "scope_stats", "term_cosine_found", "term_cosine_of", "term_cosine_scores", "term_df", "three_way", "tokenized", "top_found", "top_k"]
+__all__ = ["asked_chunks", "asked_postings", "bm25_found", "bm25_scores", "bm25_weights", "cosine_weights", "counted", "dense_scores", "dense_topk", "dot", "idf", "idf_of", "mean_idf", "nested", "normalised", "postings", "rrf", "scope_stats", "term_cosine_found", "term_cosine_of", "term_cosine_scores", "term_df", "three_way", "tokenized", "top_found", "top_k"]

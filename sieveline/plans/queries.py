@@ -53,14 +53,18 @@ class Tables:
         return v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), v
 
     @cached_property
+    def counted(self) -> tuple[DataFrame, DataFrame]:
+        return V.counted(self.queries, self.docs)
+
+    @property
     def asked(self) -> DataFrame:
         """The postings of all queries' terms, read off the documents once for both routes."""
-        return V.asked_postings(self.queries, self.docs)
+        return self.counted[0]
 
     @cached_property
     def bm25(self) -> DataFrame:
         """Both routes are computed once for a query and saved: 50 rows for each text query."""
-        return V.top_found(self.queries, self.asked, V.bm25_weights(self.queries, self.docs, self.asked), 50, V.bm25_found)
+        return V.top_found(self.queries, self.asked, V.bm25_weights(self.queries, self.docs, self.asked, counts=self.counted[1]), 50, V.bm25_found)
 
     @cached_property
     def cosine(self) -> DataFrame:

@@ -38,10 +38,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/sieveline/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The table, computed once: written to the shared folder and read from there, so that it survives lost executors."""
+def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The table, computed once: written to the shared folder, by the values of some columns, and read from there, so that it survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -345,3 +345,51 @@ def test_texts_are_chosen_before_they_are_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert all("LeftSemi, BuildRight" in p for p in plans)
     assert [{r.doc_id: r.text for r in x.collect()} for x in made] == [{3: "text 3", 20: ""}, {3: "text 3", 20: ""}, {3: "text 3", 20: None}]
+
+
+def test_routes_read_and_tokenize_documents_once(spark, monkeypatch):
+    from sieveline.plans import queries as Q
+
+    plain = Q.Tables.docs.fget
+    for name in ("alignment_missing_extra", "flat_round_trip", "top_hits"):
+        read = spark.sparkContext.accumulator(0)
+
+        @F.udf("string")
+        def seen(text, read=read):
+            read.add(1)
+            return text
+
+        monkeypatch.setattr(Q.Tables, "docs", property(lambda t, seen=seen: plain(t).withColumn("text", seen("text"))))
+        assert Q.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+        assert read.value == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count(), name
+
+
+def test_counts_of_terms_in_batches(spark):
+    rng = random.Random(5)
+    words = ["x", "y", "z", "é", "long" * 9, "1"]
+    text = [None if i % 9 == 0 else " ".join(rng.choices(words, k=rng.randint(0, 12))) for i in range(60)]
+    docs = spark.createDataFrame([(i, rng.choice(["a", "b", "c", None]), t) for i, t in enumerate(text)], "doc_id long, scope string, text string").repartition(3).cache()
+    q = spark.createDataFrame([(1, "a", "x x é none"), (2, "b", ""), (3, None, "y"), (4, "d", "z")], "query_id long, scope string, text string")
+    known = {r.scope: set((r.text or "").split()) for r in q.collect() if r.scope}
+    have = [(r.scope, r.doc_id, (r.text or "").split()) for r in docs.collect()]
+    want = sorted((s, d, t, ts.count(t), len(ts), len(set(ts))) for s, d, ts in have if s in known for t in known[s] & set(ts))
+    blank = sorted((s, d, len(ts), len(set(ts))) for s, d, ts in have if s in known)
+    df = {}
+    for s, _, ts in have:
+        for t in set(ts):
+            df[s, t] = df.get((s, t), 0) + 1
+    sizes = {(s, n): sum(1 for (z, _), m in df.items() if z == s and m == n) for (s, _), n in df.items()}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for most in (100, 0):  # 0: the asked terms are too many for the workers
+            asked, counts = V.counted(q, docs, most=most)
+            got = [tuple(r) for r in asked.select("scope", "doc_id", "term", "tf", "dl", "nd").collect()]
+            assert sorted(r for r in got if r[2] is not None) == want
+            assert sorted((r[0], r[1], r[4], r[5]) for r in got if r[2] is None) == blank
+            assert {(r.scope, r.df): r.c for r in counts.collect()} == sizes
+            assert V.counted(q, docs, every=False, most=most)[1].count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    none = docs.where("false")
+    assert [x.count() for x in V.counted(q, none)] == [0, 0]
